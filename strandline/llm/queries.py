@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import contaminated, digest
+from .near_dedup import near_classes
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +42,8 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 @_op("op3_decontaminate", OP3_SQL)
 def op3(spark, sf_dir):
     return digest(contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@_op("op9_near_dedup")
+def op9(spark, sf_dir):
+    return near_classes(table(spark, sf_dir, "documents")).drop("node")
