@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import contaminated, digest
+from .exact_dedup import exact_classes
 from .near_dedup import near_classes
 
 QUERIES: dict = {}
@@ -47,3 +48,15 @@ def op3(spark, sf_dir):
 @_op("op9_near_dedup")
 def op9(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents")).drop("node")
+
+
+OP5_SQL = """
+WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY t, doc_id) = 1 AND doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) JOIN g USING (t)
+"""
+
+
+@_op("op5_exact_dedup", OP5_SQL)
+def op5(spark, sf_dir):
+    return exact_classes(table(spark, sf_dir, "documents"))
