@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import langid
 from .common import table
 from .decontaminate import contaminated, digest
 from .exact_dedup import exact_classes
 from .near_dedup import near_classes
+from .pack import pack_texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +62,15 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) JOIN g USING (t)
 @_op("op5_exact_dedup", OP5_SQL)
 def op5(spark, sf_dir):
     return exact_classes(table(spark, sf_dir, "documents"))
+
+
+@_op("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, langid.learnable()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_op("op10_pack")
+def op10(spark, sf_dir):
+    return pack_texts(table(spark, sf_dir, "documents"))
