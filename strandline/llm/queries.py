@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid
-from .common import table
+from pyspark.sql import functions as F
+
+from . import chat, langid, warc
+from .common import scratch, table
 from .decontaminate import contaminated, digest
 from .exact_dedup import exact_classes
 from .near_dedup import near_classes
@@ -74,3 +76,44 @@ def op1(spark, sf_dir):
 @_op("op10_pack")
 def op10(spark, sf_dir):
     return pack_texts(table(spark, sf_dir, "documents"))
+
+
+_ESC = "coalesce({0}, '')"
+for _code, _plain in chat.ESCAPES:
+    _ESC = f"replace({_ESC}, '{_plain}', '{_code}')"
+
+OP2_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length({_ESC.format("text")}) + length(replace({_ESC.format("role")}, chr(10), '~8')) + {len(chat.OPEN) + len(chat.END) + 1} AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@_op("op2_chat_format", OP2_SQL)
+def op2(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.sql(f"SELECT -1L, 0L, 'user', '{said}' UNION ALL SELECT -1L, 1L, 'assistant', '{said}'"))
+    turns = chat.canonical(chat.records_of(rows)).select("conv_id", "turn", F.inline("turns"))
+    return chat.digest(chat.read_back(chat.render(turns)))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, p.payload_bytes, p.payload_digest, CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes = g.payload_bytes
+"""
+
+
+@_op("op4_warc", OP4_SQL)
+def op4(spark, sf_dir):
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
