@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, warc
+from . import chat, langid, reshard, warc
 from .common import scratch, table
 from .decontaminate import contaminated, digest
 from .exact_dedup import exact_classes
 from .near_dedup import near_classes
 from .pack import pack_texts
+from .substrings import passages
+from .token_counts import count_edits
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +119,28 @@ def op4(spark, sf_dir):
     path = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_op("op6_reshard")
+def op6(spark, sf_dir):
+    """Documents that lie by source in 24 shards, of which one holds most, go to 24 shards of equal counts."""
+    docs = table(spark, sf_dir, "documents").withColumn("old_shard", F.pmod(F.xxhash64("source"), F.lit(24)).cast("int"))
+    path = scratch(spark, "shards")
+    reshard.rewrite(reshard.assign(docs, "old_shard"), path)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = spark.read.schema("doc_id long, text string, old_shard int, slot long, shard int").parquet(path)
+    return kept.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@_op("op7_substring_dedup")
+def op7(spark, sf_dir):
+    return passages(table(spark, sf_dir, "documents"))
+
+
+@_op("op8_token_counts")
+def op8(spark, sf_dir):
+    """Counts before and after three edits of each document: a cut start, a new phrase at a quarter, a changed middle."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda a, b, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(s).alias("text"))
+    edits = F.array(edit(F.lit(0), F.lit(1), ""), edit(F.floor(n / 4), F.floor(n / 4), " as it was said"), edit(F.floor(n / 2), F.floor(n / 2) + 5, "X"))
+    return count_edits(table(spark, sf_dir, "documents").withColumn("edits", edits), edits="edits")
