@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_LANG, MOST_LANGS, VOCAB, GRAMS, ENTRIES, ORDERS = 1000, 256, 20_000, 5_000, 400_000, (5, 4, 3, 2, 1)
-CACHE = 200_000
+#: Words whose scores a task remembers, and scores in all.
+CACHE, CELLS = 200_000, 8_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -92,44 +93,52 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.tables = model["langs"], model["tables"]
         self.missing, self.first = model.get("missing", 0.0), model.get("first", 0)
-        self.rows: list[np.ndarray | None] = []
-        self.at: dict[str, int] = {}
+        self.most = max(1000, min(CACHE, CELLS // max(1, len(self.langs))))
+        self._clear()
 
-    def _vector(self, known: dict[int, float]) -> np.ndarray:
-        out = np.full(len(self.langs), self.missing)
-        out[list(known)] = list(known.values())
-        return out
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.langs)))
+        self.known = np.zeros(1024)
 
-    def word(self, word: str) -> np.ndarray | None:
-        known = self.tables.get(0, {}).get(word)
-        if known:
-            return self._vector(known)
+    def word(self, word: str) -> list[float] | None:
+        own = self.tables.get(0, {}).get(word)
+        found = [own] if own else []
         for order in ORDERS:
+            if found:
+                break
             table = self.tables.get(order, {})
             found = [table[g] for g in grams_of(word, order) if g in table]
-            if found:
-                return np.mean([self._vector(x) for x in found], axis=0)
-        return None
+        if not found:
+            return None
+        out = [self.missing] * len(self.langs)
+        for entry in found:
+            for lang, log in entry.items():
+                out[lang] += (log - self.missing) / len(found)
+        return out
+
+    def _row(self, word: str) -> int:
+        i = self.at[word] = len(self.at)
+        if i >= len(self.known):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        if (v := self.word(word)) is not None:
+            self.scores[i], self.known[i] = v, 1
+        return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
+        times = Counter(words_of(text))
+        if not self.langs or not any(c.isalpha() for w in times for c in w):
             return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for w, times in Counter(words).items():
-            i = self.at.get(w)
-            if i is None:
-                if len(self.at) >= CACHE:
-                    self.at.clear()
-                    self.rows.clear()
-                i = self.at[w] = len(self.rows)
-                self.rows.append(self.word(w))
-            if (v := self.rows[i]) is not None:
-                total += v * times
-                n += times
+        if len(self.at) > self.most:
+            self._clear()
+        at = self.at
+        rows = [at[w] if w in at else self._row(w) for w in times]
+        weight = np.fromiter(times.values(), float, len(times)) * self.known[rows]
+        n = weight.sum()
         if not n:
             return self.langs[self.first], 1 / len(self.langs)
-        mean = total / n
+        mean = weight @ self.scores[rows] / n
         share = np.exp((mean - mean.max()) * min(n, 24))
         best = int(mean.argmax())
         return self.langs[best], float(share[best] / share.sum())
