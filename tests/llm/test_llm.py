@@ -231,6 +231,43 @@ def test_passages(spark):
     assert substrings.passages(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("gap", [40, 80, 150])
+def test_passages_on_both_sides_of_a_gap(spark, gap):
+    rng = random.Random(gap)
+    shared = [prose(rng, 60, 5000) for _ in range(3)]
+    docs = [(i, f" {prose(rng, gap, 10**6)} ".join([prose(rng, 30, 10**6), *shared, prose(rng, 30, 10**6)])) for i in range(2)]
+    got = sorted(substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r["first"])
+    want = [30 + gap + n * (60 + gap) for n in range(3)]
+    assert len(got) == 3
+    for r, at in zip(got, want, strict=True):
+        assert abs(r["first"] - at) <= 2 and abs(r["last"] - at - 59) <= 2 and r.n_matched >= 58
+
+
+def test_stretches_cover_what_any_pair_of_blocks_spans():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(60):
+        x, y, a, b = [], [], [], []
+        for n in range(7):
+            a.append(len(x))
+            b.append(len(y))
+            same = [rng.randrange(10**6) for _ in range(rng.choice([8, 20, 45, 60]))]
+            x, y = x + same, y + same
+            x, y = x + [10**7 + rng.randrange(10**6) for _ in range(rng.randrange(1, 40))], y + [10**8 + rng.randrange(10**6) for _ in range(rng.randrange(1, 40))]
+        u, v = np.array(x, np.uint32), np.array(y, np.uint32)
+        got = substrings.stretches(a, b, u, v, 8, 50, 0.8)
+        blocks = substrings._blocks(a, b, u, v, 8)
+        for f in range(7):
+            for t in range(f, 7):
+                size = max(blocks[t][1] - blocks[f][0], blocks[t][3] - blocks[f][2])
+                matched = sum(p[4] for p in blocks[f : t + 1])
+                if size >= 50 and min(blocks[t][1] - blocks[f][0], blocks[t][3] - blocks[f][2]) >= 50 and matched / size >= 0.8:
+                    held = {w for p in got for w in range(p[0], p[1])}
+                    assert all(w in held for p in blocks[f : t + 1] for w in range(p[0], p[1]))
+        assert all(min(p[1] - p[0], p[3] - p[2]) >= 50 and p[4] / max(p[1] - p[0], p[3] - p[2]) >= 0.8 for p in got)
+
+
 def test_chains_are_collinear():
     import numpy as np
 
