@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import exact_dedup, langid, near_dedup, pack
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, table, text_key
 from strandline.llm.decontaminate import contaminated
 
 #: No SQL expresses the language model, the sketches or the packing.
@@ -29,9 +29,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents that hold no window of a benchmark item; which do follows from the text, so rows go by their text's hash."""
+    texts = docs.select(text_key("text").alias("doc_id"), "text")
+    hit = contaminated(texts, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, text_key("text") == F.col("_hit"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,6 +36,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: str | Column) -> Column:
+    """SHA-256 of a text, null as the empty one."""
+    return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
+
+
+def drop_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone`` and with one row of each of ``repeated``.
+
+    Both have distinct ids and text keys as ``_id, _key``; null ids are ids like others. Of repeated rows that differ in
+    other columns, the least as JSON stays.
+    """
+    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_key"))
+    left = docs.join(gone, on, "left_anti")
+    repeated = cut(repeated, "repeated")
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.join(repeated, on, "left_semi").groupBy(F.col(doc_id), text_key(text)).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return left.join(repeated, on, "left_anti").unionByName(one)
+
+
 # --- words -----------------------------------------------------------------------------
 # A word is a run of bytes that are digits, letters a-z (A-Z lower-cased) or 0x80 and above:
 # on UTF-8 this is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ over characters.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop_rows, scratch
 
 CAPACITY, DEPTH_MOST = 20_000, 12
 
@@ -78,11 +78,8 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but one of each group of equal texts, all columns as they are.
-
-    Ids must tell rows with equal texts apart; of rows with one id and one text all stay or all go.
-    """
-    gone = exact_classes(docs, doc_id, text).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_sha")), "left_anti")
-
-
+    """The documents without all but one of each group of equal texts, all columns as they are; of repeated rows one stays."""
+    out = exact_classes(docs, doc_id, text).filter(~F.col("kept"))
+    last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    keys = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
+    return drop_rows(docs, doc_id, text, keys(out.filter(~last)), keys(out.filter(last)))

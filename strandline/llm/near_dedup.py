@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, shingle_hashes, slices, word_hashes
+from .common import cut, drop_rows, mix, shingle_hashes, slices, text_key, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, SAMPLED, SKETCHES = 5, 0.8, 3, 16
@@ -91,7 +91,7 @@ def _sketch_rows(k: int, sampled: int, n: int):
                     words = hashes[lo:hi]
                     nodes.append(blake2b(words.tobytes(), digest_size=16).digest() if hi > lo else None)
                     found.append(sketch(tokens(words, k), odds, sampled) if hi > lo else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), batch.column("key")], ["doc_id", "node", "sketch", "key"])
 
     return rows
 
@@ -168,10 +168,10 @@ def _apart(pairs: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, sampled: int = SAMPLED, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
-    """Rows as ``doc_id, node``, and verified links between nodes as ``a, b, similarity``."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """Rows as ``doc_id, node, key``, and verified links between nodes as ``a, b, similarity``."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("key"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = cut(texts.mapInArrow(_sketch_rows(k, sampled, sketches), f"doc_id {kind}, node binary, sketch array<bigint>"), "sketches")
+    rows = cut(texts.mapInArrow(_sketch_rows(k, sampled, sketches), f"doc_id {kind}, node binary, sketch array<bigint>, key string"), "sketches")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("sketch").alias("sketch"))
     keys = nodes.select(F.explode("sketch").alias("band"), "node")
     heads = keys.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
@@ -184,7 +184,7 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     first = _verify(pairs, words, k, threshold)
     failed = first.filter(F.col("similarity") < threshold)
     if failed.isEmpty():
-        return rows.select("doc_id", "node"), first
+        return rows.select("doc_id", "node", "key"), first
     bands = star.join(failed.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("band").distinct()
     mixed = buckets.join(bands, "band", "left_semi").select("band", "node").join(nodes, "node")
     after = lambda j: F.element_at("sketch", ((F.array_position("sketch", F.col("band")) - 1 + j) % sketches + 1).cast("int"))
@@ -202,32 +202,39 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     strong = _verify(more.filter(F.col("shared") >= sketches // 2), words, k, threshold)
     links = first.unionByName(strong)
     weak = _apart(more.filter(F.col("shared") < sketches // 2), links, threshold)
-    return rows.select("doc_id", "node"), links.unionByName(_verify(weak, words, k, threshold))
+    return rows.select("doc_id", "node", "key"), links.unionByName(_verify(weak, words, k, threshold))
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float, sampled: int, sketches: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with words by id and text as ``doc_id, class_id, class_size, own, node, key, copies``, ``own`` if a copy is kept; and rows without words."""
+    rows, links = near_links(docs, doc_id, text, k, threshold, sampled, sketches)
+    labels = components(links.filter(F.col("similarity") >= threshold))
+    worded = rows.filter("node IS NOT NULL").groupBy("node", "doc_id", "key").agg(F.count("*").alias("copies"))
+    classed = cut(worded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node", "key"))
+    heads = classed.groupBy("label").agg(least.alias("least"), F.sum("copies").alias("class_size"))
+    own = (F.col("least.node") == F.col("node")) & (F.col("least.key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    return classed.join(heads, "label").select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", own.alias("own"), "node", "key", "copies"), rows.filter("node IS NULL")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, sampled: int = SAMPLED, sketches: int = SKETCHES) -> DataFrame:
     """One row per document row: ``doc_id, class_id, class_size, kept, node``.
 
     ``class_id`` is the least id of the class; one row of each class is kept, that with the least id (nulls last,
-    then the least node).
+    then the least node, then the least hash of the text).
     """
-    rows, links = near_links(docs, doc_id, text, k, threshold, sampled, sketches)
-    labels = components(links.filter(F.col("similarity") >= threshold))
+    classed, wordless = _classed(docs, doc_id, text, k, threshold, sampled, sketches)
+    out = classed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth"))
+    out = out.select("doc_id", "class_id", "class_size", (F.col("own") & (F.col("nth") == 1)).alias("kept"), "node")
     # rows without words stand alone: each is a class
-    worded = rows.filter("node IS NOT NULL").groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
-    classed = cut(worded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
-    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node"))
-    heads = classed.groupBy("label").agg(least.alias("least"), F.sum("copies").alias("class_size"))
-    out = classed.join(heads, "label").select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("least.node") == F.col("node")).alias("own"), F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("same"), "node", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth"))
-    out = out.select("doc_id", "class_id", "class_size", (F.col("own") & F.col("same") & (F.col("nth") == 1)).alias("kept"), "node")
-    alone = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "node")
+    alone = wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "node")
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without all but one of each near-duplicate class, all columns as they are.
 
-    Ids must tell rows apart here, as they do after exact deduplication; of rows that share an id and are kept all stay.
+    Rows are told apart by id and text, so a class takes no row of another with it; of repeated rows at most one stays.
     """
-    gone = near_classes(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    classed = cut(_classed(docs, doc_id, text, SHINGLE, THRESHOLD, SAMPLED, SKETCHES)[0].select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "own", "copies"), "classes")
+    return drop_rows(docs, doc_id, text, classed.filter(~F.col("own")).select("_id", "_key"), classed.filter(F.col("own") & (F.col("copies") > 1)).select("_id", "_key"))
