@@ -6,19 +6,25 @@ and hashed in the order they have in the text: two documents share a sketch if t
 are least and stand in the same order, which follows edit similarity rather than the bare set.
 
 Documents with the same words are one node. Nodes that share a sketch are linked to the least node of
-that bucket (one link a node: never all pairs of a bucket) and verified. In buckets where a link fails, all members
-are ordered by their next sketches. Each is linked to the one before it and to those of the ``REACH`` before it that
-share a quarter of the sketches with it (at similarity 0.8 half are shared, and under a quarter once in 100), unless verified links join the two already; so families that met by chance in a bucket are linked
-within themselves. Links that share half of the sketches are verified first, the others only between what is still apart. Verification aligns the tokens of both documents in a band
+that bucket (one link a node: never all pairs of a bucket) and verified. A bucket is mixed while its members lie in more than one
+component. Members of mixed buckets, and no others, are then joined by a prefix filter, which is exact: tokens are ordered by the number of
+components that hold them (rarest first, ties by hash), and two documents of similarity ``threshold`` or more share one of their first
+tokens, as many as the threshold lets them differ in. Pairs must also pass the length bound, the bound by the token's place and a bound by
+bitmaps of all tokens (bits that differ are tokens that differ), and lie in different components. So every pair that shares a sketch is verified or joined already, and common
+passages, being last in the order, make no pairs. Verification aligns the tokens of both documents in a band
 around the diagonal whose width follows from the threshold: L is the longest common subsequence inside
 it, the similarity L / (n_a + n_b - L), and links of at least ``threshold`` count. Since tokens are
 distinct, the alignment is a longest increasing run over the shared tokens.
 
+The order's counts are kept in ``CELLS`` cells of the token's hash, a bound that doesn't grow with the data: any order gives the same pairs,
+a coarser one only more candidates.
+
 Expected recall at similarity 0.8, three sampled tokens and 16 sketches: 1 - (1 - 0.8**3)**16 > 0.99998.
 
 Every row gets a row. Texts of under five words are one token (all their words); texts without words,
 null or empty, are never linked and form a class each. Null ids take part; repeated ids
-and rows stay apart rows, of which one row of a class at most is kept. Other columns are ignored.
+and rows stay apart rows, of which one row of a class at most is kept. Very long texts are read whole (their words take 24 bytes each in a
+task), an empty table gives an empty one, ties go to the least node. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +36,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_rows, mix, shingle_hashes, slices, text_key, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, SAMPLED, SKETCHES = 5, 0.8, 3, 16
-#: So many members before it each member of a mixed bucket is held against.
-REACH = 7
+#: Cells of token counts by which prefixes are ordered.
+CELLS, ROUNDS = 1 << 20, 2
 
 
 def tokens(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -143,7 +149,7 @@ def _verify_rows(k: int, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(64)
         def own(words: bytes) -> np.ndarray:
-            return tokens(mix(_unpacked(words) + np.uint64(1)), k)
+            return _own(words, k)
 
         for batch in batches:
             found = [similarity(own(a.as_py()), own(b.as_py()), threshold) for a, b in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
@@ -159,12 +165,119 @@ def _verify(pairs: DataFrame, words: DataFrame, k: int, threshold: float) -> Dat
     return cut(both.select("a", "b", "words_a", "words_b").mapInArrow(_verify_rows(k, threshold), "a binary, b binary, similarity double"), "verified")
 
 
-def _apart(pairs: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that verified links don't join into one component yet."""
-    labels = cut(components(links.filter(F.col("similarity") >= threshold)), "joined")
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
-    return pairs.filter("coalesce(label_a, a) <> coalesce(label_b, b)").drop("label_a", "label_b")
+def _own(words: bytes, k: int) -> np.ndarray:
+    return tokens(mix(_unpacked(words) + np.uint64(1)), k)
+
+
+def _cells(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(44)).astype(np.int64)
+
+
+def _cell_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for words in batch.column("words"):
+                np.add.at(total, _cells(_own(words.as_py(), k)), 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+
+    return rows
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """A document's rarest tokens in order, and how many of them are enough where it isn't the longer one of a pair.
+
+    Of n tokens, a partner of at least the threshold shares threshold x n; a partner as long or longer shares
+    2 x threshold / (1 + threshold) x n. What may differ, and one more, is the prefix.
+    """
+    n = len(own)
+    order = np.lexsort((own, counts[_cells(own)]))
+    most = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    return own[order[:most]], min(most, n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1)
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """1024 bits of a document's tokens as sixteen numbers: where two documents' differ, so do tokens."""
+    bits = np.zeros(1024, bool)
+    bits[(own & np.uint64(1023)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+BITS = [f"b{i}" for i in range(16)]
+
+
+def _bitmap_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([bitmap(_own(words.as_py(), k)) for words in batch.column("words")], np.int64).reshape(-1, 16)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], ["node", *BITS])
+
+    return rows
+
+
+def _prefix_rows(k: int, threshold: float, sent):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = []
+                for words in part.column("words"):
+                    own = _own(words.as_py(), k)
+                    found.append((*prefix(own, sent.value, threshold), len(own)))
+                many = [len(p) for p, *_ in found]
+                row = pa.array(np.repeat(np.arange(part.num_rows), many))
+                at = np.concatenate([np.arange(m, dtype=np.int32) for m in many]) if many else np.zeros(0, np.int32)
+                token = np.concatenate([p for p, *_ in found]).view(np.int64) if many else np.zeros(0, np.int64)
+                size = np.repeat(np.array([n for _, _, n in found], np.int32), many)
+                short = at < np.repeat(np.array([s for _, s, _ in found], np.int32), many)
+                yield pa.RecordBatch.from_arrays([pa.array(token), part.column("node").take(row), part.column("own").take(row), pa.array(size), pa.array(at), pa.array(short)], ["token", "node", "own", "size", "at", "short"])
+
+    return rows
+
+
+def _prefix_links(mixed: DataFrame, first: DataFrame, words: DataFrame, k: int, threshold: float) -> DataFrame:
+    """All verified links: ``first``, and those between the ``node, words, label`` of mixed buckets that the prefix filter finds.
+
+    In ``ROUNDS`` rounds, the members of an eighth of the prefix tokens are held against one of them each, so that families are
+    joined by few pairs; then all that is still apart and passes the filter is verified.
+    """
+    spark = mixed.sparkSession
+    # a component counts once, by its least node: thousands of near copies don't make their tokens common
+    cells = mixed.filter("node = label").select("words").mapInArrow(_cell_rows(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
+    rows = cut(mixed.select("node", "words", F.xxhash64("label").alias("own")).mapInArrow(_prefix_rows(k, threshold, sent), "token long, node binary, own long, size int, at int, short boolean"), "prefixes")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        shared = rows.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("token")
+        return cut(rows.join(shared, "token"), "shared-prefixes")
+
+    def verified(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        ends = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        return links.unionByName(_verify(ends.join(links.select("a", "b"), ["a", "b"], "left_anti"), words, k, threshold))
+
+    x, y = F.col("a.size"), F.col("b.size")
+    differ = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in BITS[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    near = (F.col("a.own") != F.col("b.own")) & (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-6) & (differ <= (1 - threshold) / (1 + threshold) * (x + y) + 1e-6)
+    bits = mixed.select("node", "words").mapInArrow(_bitmap_rows(k), f"node binary, {', '.join(f'{b} long' for b in BITS)}")
+    held, links = cut(apart(rows).join(bits, "node"), "bitmaps"), first
+    for part in range(ROUNDS):
+        some = held.filter(F.pmod("token", F.lit(8)) == part)
+        pick = F.min_by(F.struct("size", "node", "own", *BITS), F.xxhash64("node", "token"))
+        heads = some.groupBy("token").agg(pick.alias("h")).select("token", "h.*")
+        links = verified(heads.alias("a").join(some.alias("b"), "token").filter(near), links)
+        labels = components(links.filter(F.col("similarity") >= threshold))
+        held = held.withColumnRenamed("own", "was").join(labels, "node", "left").withColumn("own", F.xxhash64(F.coalesce("label", "node"))).drop("was", "label")
+        held = apart(cut(held, "prefixes"))
+    a, b = held.filter("short").alias("a"), held.alias("b")
+    first_of = (x < y) | ((x == y) & (F.col("a.node") < F.col("b.node")))
+    left = F.least(x - F.col("a.at"), y - F.col("b.at"))  # what they can still share, this token included
+    fits = left >= threshold / (1 + threshold) * (x + y) - 1e-6
+    return verified(a.join(b, (F.col("a.token") == F.col("b.token")) & near & first_of & fits), links)
 
 
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, sampled: int = SAMPLED, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
@@ -182,27 +295,15 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     words = texts.filter("text IS NOT NULL").mapInArrow(_word_rows, "node binary, words binary")
     words = cut(words.join(linked, "node", "left_semi").dropDuplicates(["node"]), "words")
     first = _verify(pairs, words, k, threshold)
-    failed = first.filter(F.col("similarity") < threshold)
-    if failed.isEmpty():
+    if first.filter(F.col("similarity") < threshold).isEmpty():
         return rows.select("doc_id", "node", "key"), first
-    bands = star.join(failed.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("band").distinct()
-    mixed = buckets.join(bands, "band", "left_semi").select("band", "node").join(nodes, "node")
-    after = lambda j: F.element_at("sketch", ((F.array_position("sketch", F.col("band")) - 1 + j) % sketches + 1).cast("int"))
-    # what is linked already in one component needs no further link
-    labels = components(first.filter(F.col("similarity") >= threshold)).withColumnRenamed("label", "linked")
-    mixed = mixed.select("band", "node", "sketch", after(1).alias("o1"), after(2).alias("o2")).join(labels, "node", "left").withColumn("linked", F.coalesce("linked", "node"))
-    order = Window.partitionBy("band").orderBy("o1", "o2", "node")
-    near = F.array_compact(F.array(*(F.lag(F.struct("node", "linked", "sketch", F.lit(j).alias("far")), j).over(order) for j in range(1, REACH + 1))))
-    shared = lambda x: F.size(F.array_intersect(x["sketch"], "sketch"))
-    path = mixed.withColumn("near", near).withColumn("near", F.filter("near", lambda x: x["linked"] != F.col("linked"))).withColumn("near", F.transform("near", lambda x: F.struct(x["node"].alias("before"), x["far"].alias("far"), shared(x).alias("shared"))))
-    path = path.select("node", F.inline(F.filter("near", lambda x: (x["far"] == 1) | (x["shared"] >= sketches // 4))))
-    more = path.groupBy(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).agg(F.max("shared").alias("shared"))
-    more = cut(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    # those that share half of the sketches go first: what they join needs no weaker link
-    strong = _verify(more.filter(F.col("shared") >= sketches // 2), words, k, threshold)
-    links = first.unionByName(strong)
-    weak = _apart(more.filter(F.col("shared") < sketches // 2), links, threshold)
-    return rows.select("doc_id", "node", "key"), links.unionByName(_verify(weak, words, k, threshold))
+    labels = cut(components(first.filter(F.col("similarity") >= threshold)), "joined")
+    placed = buckets.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = placed.withColumn("own", F.xxhash64("label"))
+    bands = placed.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("band")
+    mixed = placed.join(bands, "band", "left_semi").select("node", "label").distinct()
+    mixed = cut(words.join(mixed, "node"), "mixed")
+    return rows.select("doc_id", "node", "key"), _prefix_links(mixed, first, words, k, threshold)
 
 
 def _classed(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float, sampled: int, sketches: int) -> tuple[DataFrame, DataFrame]:
