@@ -2,7 +2,8 @@
 
 A record is JSON. Its nested field paths (names and nesting, not types, keys in order) are hashed to a fingerprint, which
 selects one of the declared ``LAYOUTS``: where the turns are, and what their roles are called. A record
-whose fingerprint is not declared, or that is no JSON, keeps its row with null ``layout`` and ``turns``.
+whose fingerprint is not declared, or that is no JSON (or is over 128 MiB, the most that a parsed value holds), keeps its row with null
+``layout`` and ``turns``; :func:`turns_of` then takes the flat columns beside it, so that no turn is lost.
 
 The template writes each turn as ``<|turn|>role``, a newline, the text and ``<|end|>``. Control strings inside roles and
 texts are escaped (``ESCAPES``), so that reading back is exact whatever they hold. The loss mask is a list of runs
@@ -11,7 +12,7 @@ texts are escaped (``ESCAPES``), so that reading back is exact whatever they hol
 A null role or text is empty. Turns are ordered by turn number (null first), then by role and text, and repeated
 rows are turns of their own. Turns are joined to a conversation in two steps, by 64s and then as a whole, so a very
 long conversation is put together from few rows; its one digest needs its whole text in one row. Null conversation ids form one conversation.
-Empty tables give empty results.
+Very long turns are kept whole. Empty tables give empty results. Other columns of the turns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 ESCAPES = [("~0", "~"), ("~1", "<|"), ("~2", "<s>"), ("~3", "</s>"), ("~4", "[INST]"), ("~5", "[/INST]"), ("~6", "<<SYS>>"), ("~7", "<</SYS>>")]
 OPEN, END = "<|turn|>", "<|end|>"
 CHUNK = 64
+#: For JSON with a field for every null.
+KEEP = {"ignoreNullFields": "false"}
 
 #: Name, nested fields, then ("list", path, role field, text field, other names of roles) or ("fields", [(role, fields joined by an empty line), ...]).
 LAYOUTS = [
@@ -136,5 +139,19 @@ def digest(back: DataFrame) -> DataFrame:
 
 
 def records_of(turns: DataFrame) -> DataFrame:
-    """Rows ``conv_id, turn, role, text`` as JSON records of one turn, beside their ids."""
-    return turns.select("conv_id", "turn", F.to_json(F.struct("conv_id", "role", "text", "turn"), {"ignoreNullFields": "false"}).alias("record"))
+    """Rows ``conv_id, turn, role, text`` as JSON records of one turn in four layouts, dealt by turn number; ``role, text`` stay beside them."""
+    role, text = F.col("role"), F.col("text")
+    one = F.array(F.struct(role.alias("role"), text.alias("content")))
+    said = F.array(F.struct(F.when(role == "user", "human").when(role == "assistant", "gpt").when(role.isin("human", "gpt"), None).otherwise(role).alias("from"), text.alias("value")))
+    plain = role.isin("human", "gpt")  # these two mean other roles in the third layout
+    shapes = [F.struct("conv_id", "role", "text", "turn"), F.struct(one.alias("messages")), F.struct(said.alias("conversations")), F.struct(text.alias("content"), role.alias("role"))]
+    record, kind = F.to_json(shapes[0], KEEP), F.pmod(F.coalesce("turn", F.lit(0)), F.lit(4))
+    for i, shape in enumerate(shapes[1:], 1):
+        record = F.when((kind == i) & ~F.coalesce(plain, F.lit(False)), F.to_json(shape, KEEP)).otherwise(record)
+    return turns.select("conv_id", "turn", record.alias("record"), "role", "text")
+
+
+def turns_of(records: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` of canonical records; a record that no JSON value can hold (over 128 MiB) gives its own ``role, text``."""
+    own = F.array(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    return records.select("conv_id", "turn", F.inline(F.coalesce("turns", own)))

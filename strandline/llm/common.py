@@ -14,15 +14,32 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a temporary folder is made and set.
-    What is written there must outlive the lazy result that reads it, so it stays until
-    the folder is cleared by its owner.
+    Only where that setting is absent and Spark runs on one machine, as in tests, a temporary folder is made and set; on a cluster it is an error.
+    What is written there must outlive the lazy result that reads it, so it stays until :func:`clear` is called
+    or the folder is cleared by its owner.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Paths that this process has handed out.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what :func:`scratch` has handed out, once no result is read any more; returns how many paths were there."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -41,19 +58,31 @@ def text_key(text: str | Column) -> Column:
     return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with signs before them as long as the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def drop_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``gone`` and with one row of each of ``repeated``.
 
     Both have distinct ids and text keys as ``_id, _key``; null ids are ids like others. Of repeated rows that differ in
     other columns, the least as JSON stays.
     """
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_key"))
-    left = docs.join(gone, on, "left_anti")
-    repeated = cut(repeated, "repeated")
+    a, b, whole = unused(docs, "_id", "_key", "_row")
+    on = F.col(doc_id).eqNullSafe(F.col(a)) & (text_key(text) == F.col(b))
+    left = docs.join(gone.toDF(a, b), on, "left_anti")
+    repeated = cut(repeated, "repeated").toDF(a, b)
     if repeated.isEmpty():
         return left
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = left.join(repeated, on, "left_semi").groupBy(F.col(doc_id), text_key(text)).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    one = left.join(repeated, on, "left_semi").groupBy(F.col(doc_id), text_key(text)).agg(F.min_by(row, F.to_json(row)).alias(whole)).select(f"{whole}.*")
     return left.join(repeated, on, "left_anti").unionByName(one)
 
 

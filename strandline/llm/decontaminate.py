@@ -6,13 +6,14 @@ in one order for all: rarest first, by the number of windows that hold a shingle
 document must hold a window wholly, one prefix token is enough, its rarest shingle: a
 document that lacks it can't hold the window. Where the token occurs, a positional bound (the window must
 begin at or after the first word of the document) and a length bound (and end by its last)
-are checked, then all words are compared.
+are checked, then all words are compared: by their hashes first, and what passes byte by byte.
 
 The index of windows is broadcast in blocks of at most ``block`` windows (a bound that doesn't
 grow with the data; a benchmark of any size is done block by block, with a write to
 the shared folder between blocks), and documents stay where they are: no shuffle, each text is
 read once a block.
 
+Very long texts are read whole, in parts of half a megabyte. An empty table on either side gives no hits.
 Null or wordless texts and items have no windows and no hits. Rows are kept one by one, repeated or null
 ids included; repeated item ids count once, a null item id as the empty string. Other columns are left out
 of the result, so their names can't clash.
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TO_WORDS, cut, shingle_hashes, slices, word_hashes
+from .common import TO_WORDS, cut, raw, shingle_hashes, slices, word_hashes
 
 WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
 
@@ -55,6 +57,7 @@ class _Index:
 
     def __init__(self, rows: list[tuple[str, list[str]]], shingle: int):
         self.items = [items for _, items in rows]
+        self.words = [words.encode() for words, _ in rows]
         flat = pa.array([words for words, _ in rows], pa.string())
         hashes, _, _, first = word_hashes(flat)
         size = np.diff(first)
@@ -107,26 +110,60 @@ class _Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _occurrences(index: _Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts of a column: (number of words, first word of each text, first words, sizes and windows of what occurs)."""
+    data, _ = raw(column)
+    hashes, begin, end, first = word_hashes(column)
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start, size, which = index.find(hashes, first[1:][row_of], first[:-1][row_of])
+    same = [b" ".join(data[begin[s] : end[s + n - 1]].tobytes().translate(TO_WORDS).split()) == index.words[w] for s, n, w in zip(start, size, which, strict=True)]
+    keep = np.array(same, bool)
+    return len(hashes), first, start[keep], size[keep], which[keep]
+
+
 SPAN = "array<struct<first:int,last:int>>"
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str, window: int, block: int) -> Iterator[Broadcast]:
+    """The windows in broadcasts of about ``block`` each, one at least."""
+    windows = cut(item_windows(items, item_id, item_text, window), "windows")
+    blocks = max(1, -(-windows.count() // block))
+    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = [(r.words, r.items) for r in numbered.filter(F.col("block") == b).select("words", "items").orderBy("words").toLocalIterator()]
+        yield items.sparkSession.sparkContext.broadcast(rows)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, all columns as they are; rows are judged one by one, without a shuffle."""
+    for sent in _blocks(items, item_id, item_text, window, block):
+        docs = docs.mapInArrow(_sieve(sent, shingle, text), docs.schema)
+    return docs
+
+
+def _sieve(sent: Broadcast, shingle: int, text: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Index(sent.value, shingle)
+        for whole in batches:
+            for batch in slices(whole, text):
+                _, first, start, _, _ = _occurrences(index, batch.column(text))
+                clean = np.ones(batch.num_rows, bool)
+                clean[np.searchsorted(first, start, "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+    return rows
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_hit, spans, items``.
 
     ``spans`` are the hit words as joined ranges (first and last word, from 0), ``items`` the ids of
     the items with a window in the document, sorted as strings.
     """
-    spark = docs.sparkSession
-    windows = cut(item_windows(items, item_id, item_text, window), "windows")
-    blocks = max(1, -(-windows.count() // block))
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = [(r.words, r.items) for r in numbered.filter(F.col("block") == b).select("words", "items").orderBy("words").toLocalIterator()]
-        sent = spark.sparkContext.broadcast(rows)
+    for b, sent in enumerate(_blocks(items, item_id, item_text, window, block)):
+        out = cut(out, "hits") if b else out
         out = out.mapInArrow(_scan(sent, shingle), T.StructType(out.schema.fields))
-        if b + 1 < blocks:
-            out = cut(out, "hits")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.last - s.first + 1), F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -136,12 +173,11 @@ def _scan(sent, shingle: int):
         index = _Index(sent.value, shingle)
         for whole in batches:
             for batch in slices(whole, "text"):
-                hashes, _, _, first = word_hashes(batch.column("text"))
+                n, first, start, size, which = _occurrences(index, batch.column("text"))
                 counts = np.diff(first)
                 row_of = np.repeat(np.arange(batch.num_rows), counts)
-                start, size, which = index.find(hashes, first[1:][row_of], first[:-1][row_of])
                 # words that are hit, by the difference of ranges that begin and end
-                edge = np.zeros(len(hashes) + 1, np.int64)
+                edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + size, -1)
                 hit = np.cumsum(edge[:-1]) > 0

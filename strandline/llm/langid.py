@@ -7,12 +7,13 @@ order it says nothing. A text's score is the mean over its words, its prediction
 highest (ties: the first in order), and ``score`` that language's share in exp(mean x words, 24 at most).
 
 The model is fitted on a bounded sample of labelled rows: ``PER_LANG`` rows of each of the ``MOST_LANGS``
-most frequent labels, those with the least hash of the id. Its tables hold ``VOCAB`` words and ``GRAMS`` n-grams of each
-order for a language at most, and ``ENTRIES`` in all, so what is broadcast doesn't grow with the data.
+most frequent labels (rarer labels are never predicted), those with the least hash of the id; so what is broadcast doesn't grow with the data. Its tables hold all words and n-grams of the
+sample. Only where these are more than ``ENTRIES`` are those left out that are seen least often, in all languages alike.
 
 Texts that are null or without a letter get ``und`` and 0. Texts with letters of which none is
 known get the most frequent label and 1 / languages; without any labelled row all get ``und``. Whole texts are read;
-rows are kept one by one, and other columns are ignored or, in :func:`keep_known`, kept as they are.
+rows are kept one by one, repeated ones and null ids included; an empty table gives an empty one. Other columns are ignored or, in :func:`keep_known`, kept as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, MOST_LANGS, VOCAB, GRAMS, ENTRIES, ORDERS = 1000, 256, 20_000, 5_000, 400_000, (5, 4, 3, 2, 1)
+from .common import cut
+
+PER_LANG, MOST_LANGS, ENTRIES, ORDERS = 1000, 256, 2_000_000, (5, 4, 3, 2, 1)
 #: Words whose scores a task remembers, and scores in all.
 CACHE, CELLS = 200_000, 8_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,17 +72,25 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     if not langs:
         return {"langs": [], "tables": {}}
     near = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").filter(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= PER_LANG).select("doc_id", "lang").distinct()
+    # twice the rows that are wanted pass by their hash alone, so that no task orders all rows of a language
+    share = {r["lang"]: min(1.0, (2 * PER_LANG + 200) / r["count"]) for r in counts}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
+    few = labelled.select("doc_id", "lang").filter(F.col("lang").isin(langs)).filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= bound)
+    chosen = few.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= PER_LANG).select("doc_id", "lang").distinct()
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # PER_LANG x MOST_LANGS ids at most
     words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    words = words.select("lang", F.lit(0).alias("order"), "gram", "n").cache()
+    words = cut(words.select("lang", F.lit(0).alias("order"), "gram", "n"), "words")
     grams = words.select("lang", "gram", "n").mapInArrow(_count_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    share = ENTRIES // len(langs)
-    most = F.when(F.col("order") == 0, min(VOCAB, share // 2)).otherwise(min(GRAMS, share // (2 * len(ORDERS))))
-    group = Window.partitionBy("lang", "order")
-    ranked = words.unionByName(grams).withColumns({"r": F.row_number().over(group.orderBy(F.desc("n"), "gram")), "total": F.sum("n").over(group)})
-    rows = ranked.filter(F.col("r") <= most).select("lang", "order", "gram", F.log(F.col("n") / F.col("total")).alias("log")).collect()  # ENTRIES at most
-    words.unpersist()
+    known = cut(words.unionByName(grams), "grams")
+    times = known.groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).collect()  # different counts in a bounded sample
+    least, held = 1, 0
+    for r in times:
+        held += r["entries"]
+        if held > ENTRIES:
+            least = r["n"] + 1
+            break
+    totals = known.groupBy("lang", "order").agg(F.sum("n").alias("total"))
+    rows = known.filter(F.col("n") >= least).join(F.broadcast(totals), ["lang", "order"]).select("lang", "order", "gram", F.log(F.col("n") / F.col("total")).alias("log")).toArrow().to_pylist()  # ENTRIES at most
     at = {x: i for i, x in enumerate(sorted(langs))}
     tables: dict[int, dict[str, dict[int, float]]] = {}
     for r in rows:

@@ -98,11 +98,12 @@ FROM t GROUP BY conv_id
 
 @_op("op2_chat_format", OP2_SQL)
 def op2(spark, sf_dir):
+    """Turns reach the operator as records of four layouts, by turn number; their fingerprints tell which."""
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.union(spark.sql(f"SELECT -1L, 0L, 'user', '{said}' UNION ALL SELECT -1L, 1L, 'assistant', '{said}'"))
-    turns = chat.canonical(chat.records_of(rows)).select("conv_id", "turn", F.inline("turns"))
-    return chat.digest(chat.read_back(chat.render(turns)))
+    records = chat.canonical(chat.records_of(rows))
+    return chat.digest(chat.read_back(chat.render(chat.turns_of(records))))
 
 
 OP4_SQL = """
@@ -125,10 +126,8 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     """Documents that lie by source in 24 shards, of which one holds most, go to 24 shards of equal counts."""
     docs = table(spark, sf_dir, "documents").withColumn("old_shard", F.pmod(F.xxhash64("source"), F.lit(24)).cast("int"))
-    path = scratch(spark, "shards")
-    reshard.rewrite(reshard.assign(docs, "old_shard"), path)
+    kept, _ = reshard.rewrite(docs, "old_shard", scratch(spark, "shards"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    kept = spark.read.schema("doc_id long, text string, old_shard int, slot long, shard int").parquet(path)
     return kept.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -4,24 +4,28 @@ Law ``rows``: the new shards' counts differ by one at most. A block is the rows
 within a factor of two); moving a row of it costs the block's mean bytes, staying costs nothing. The flow
 from blocks to shards is solved on the driver over at most old shards x 64 blocks, a size that doesn't
 depend on the rows, by successive cheapest paths. As a move's cost doesn't depend on where it ends,
-all moves go through one node, which keeps the network small.
+all moves go through one node, which keeps the network small. The one row more that some shards take goes where it keeps the largest row from moving.
 
-Rows are ranked within their block (by a count for each of ``SUBS`` hash parts and a row number within the part, so that no
-task holds a whole block), and each arc of the flow takes a range of ranks. Slots of a shard are dealt to its arcs in turn, so
-they are gapless from 0 without another sort. :func:`rewrite` then writes only shards that rows leave or enter.
+Within their block rows are ranked by size, largest first, and the first ranks stay; so what leaves an old shard are its smallest rows, and the moved
+bytes are the fewest that any assignment of these counts can do with. Ranks come from counts by exact size and ``PARTS`` hash parts and a row number within
+those, so that no task holds a whole block, and each arc of the flow takes a range of ranks. Slots of a shard are dealt to its arcs in turn, so
+they are gapless from 0 without another sort. :func:`rewrite` writes only the shards that rows leave or enter, to a new folder: files of others aren't touched.
 
-Null texts have no bytes, null ids are ids like others, repeated rows are rows of their own. An empty table gives empty
-shards. Old shard numbers must be at least 0; those past the new count are emptied.
+Null texts have no bytes, null ids are ids like others, repeated rows are rows of their own; rows with equal texts move like others, each for itself.
+Ties of size go by a hash. Very long texts are rows like others. An empty table gives empty
+shards. Old shard numbers must be at least 0; those past the new count are emptied. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS, SUBS = 24, 256
+from .common import cut
+
+SHARDS, PARTS = 24, 64
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -60,16 +64,19 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
             room[e ^ 1] += much
 
 
-def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int, int]]:
-    """From blocks (old shard, class, rows, bytes) to moves (old shard, class, first rank, end rank, shard, first slot)."""
+def plan(blocks: list[tuple[int, int, int, int]], shards: int, saved: dict[int, int] | None = None) -> list[tuple[int, int, int, int, int, int]]:
+    """From blocks (old shard, class, rows, bytes) to moves (old shard, class, first rank, end rank, shard, first slot).
+
+    ``saved`` has, for old shards that are over-full, the size of the row that needn't move if they take one row more.
+    """
     total = sum(b[2] for b in blocks)
     capacity = [total // shards + (k < total % shards) for k in range(shards)]
-    # nodes: source, sink, hub, blocks, shards; the odd rows go where most rows are
+    # nodes: source, sink, hub, blocks, shards
     counts = [0] * shards
     for old, _, n, _ in blocks:
         if old < shards:
             counts[old] += n
-    order = sorted(range(shards), key=lambda k: (-counts[k], k))
+    order = sorted(range(shards), key=lambda k: (-(saved or {}).get(k, 0), -counts[k], k))
     capacity = [capacity[order.index(k)] for k in range(shards)]
     at = lambda i: 3 + i
     shard = lambda k: 3 + len(blocks) + k
@@ -106,39 +113,43 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int
     return moves
 
 
-def assign(docs: DataFrame, old_shard: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, subs: int = SUBS) -> DataFrame:
-    """The rows as ``doc_id, text, old_shard, shard, slot``."""
+def _solved(docs: DataFrame, old_shard: str, doc_id: str, text: str, shards: int) -> tuple[DataFrame, list[tuple]]:
+    """The rows as ``doc_id, text, old_shard, shard, slot``, and the moves."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(old_shard).cast("int").alias("old_shard"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    rows = rows.withColumns({"kind": F.floor(F.log2(size)).cast("int"), "sub": F.pmod(F.xxhash64("doc_id", "text"), F.lit(subs)).cast("int")})
-    parts = rows.groupBy("old_shard", "kind", "sub").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    parts = parts.cache()  # old shards x 64 x subs rows at most
-    blocks = [tuple(r) for r in parts.groupBy("old_shard", "kind").agg(F.sum("n"), F.sum("bytes")).orderBy("old_shard", "kind").collect()]
-    before = Window.partitionBy("old_shard", "kind").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("old_shard", "kind", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    moves = spark.createDataFrame(plan(blocks, shards), "old_shard int, kind int, lo long, hi long, shard int, slot0 long")
-    own = Window.partitionBy("old_shard", "kind", "sub").orderBy("doc_id", F.xxhash64("text"))
-    ranked = rows.withColumn("nth", F.row_number().over(own) - 1).join(F.broadcast(base), ["old_shard", "kind", "sub"]).withColumn("rank", F.col("base") + F.col("nth"))
-    out = ranked.join(F.broadcast(moves), ["old_shard", "kind"]).filter("rank >= lo AND rank < hi")
-    return out.select("doc_id", "text", "old_shard", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))
-
-
-def rewrite(assigned: DataFrame, path: str, affected_only: bool = False) -> list[int]:
-    """Writes shards as ``path/shard=k``; with ``affected_only`` just those that rows leave or enter, over what is there.
-
-    Returns the shards written, of which there are few. An emptied old shard past the new count is for the caller to delete.
+    rows = rows.withColumns({"size": size, "kind": F.floor(F.log2(size)).cast("int"), "part": F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).cast("int")})
+    by = ["old_shard", "kind", "size", "part"]
+    parts = cut(rows.groupBy(*by).agg(F.count("*").alias("n")), "parts")
+    blocks = [tuple(r) for r in parts.groupBy("old_shard", "kind").agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).orderBy("old_shard", "kind").collect()]  # old shards x 64 at most
+    least = sum(b[2] for b in blocks) // shards
+    sizes = parts.groupBy("old_shard", "size").agg(F.sum("n").alias("n"))  # a row a size: windows over them don't grow with the rows
+    upto = F.sum("n").over(Window.partitionBy("old_shard").orderBy("size"))
+    full = F.sum("n").over(Window.partitionBy("old_shard"))
+    saved = sizes.withColumns({"upto": upto, "full": full}).filter((F.col("old_shard") < shards) & (F.col("full") > least) & (F.col("upto") >= F.col("full") - least)).groupBy("old_shard").agg(F.min("size")).collect()
+    moves = plan(blocks, shards, {r[0]: r[1] for r in saved})
+    before = Window.partitionBy("old_shard", "kind").orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    dealt = spark.createDataFrame(moves, "old_shard int, kind int, lo long, hi long, shard int, slot0 long")
+    own = Window.partitionBy(*by).orderBy("doc_id", F.xxhash64("text"))
+    ranked = rows.withColumn("nth", F.row_number().over(own) - 1).join(base, by).withColumn("rank", F.col("base") + F.col("nth"))
+    out = ranked.join(F.broadcast(dealt) if len(moves) <= 100_000 else dealt, ["old_shard", "kind"]).filter("rank >= lo AND rank < hi")
+    return out.select("doc_id", "text", "old_shard", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot")), moves
+
+
+def assign(docs: DataFrame, old_shard: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The rows as ``doc_id, text, old_shard, shard, slot``."""
+    return _solved(docs, old_shard, doc_id, text, shards)[0]
+
+
+def rewrite(docs: DataFrame, old_shard: str, path: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> tuple[DataFrame, list[int]]:
+    """Moves the rows: the shards that rows leave or enter are written as ``path/shard=k``, the others stay where ``docs`` has them.
+
+    Returns all rows as :func:`assign` gives them, read from where they lie now, and the shards written. ``path`` must be new:
+    readers of the old files see them whole until they switch over, and a failed job leaves nothing changed.
     """
-    spark: SparkSession = assigned.sparkSession
-    if not affected_only:
-        assigned.write.mode("overwrite").partitionBy("shard").parquet(path)
-        return []
-    moved = assigned.filter("shard <> old_shard")
-    shards = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        assigned.filter(F.col("shard").isin(shards)).write.mode("overwrite").partitionBy("shard").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    return shards
+    out, moves = _solved(docs, old_shard, doc_id, text, shards)
+    changed = sorted({k for old, _, _, _, shard, _ in moves if old != shard for k in (old, shard) if k < shards})
+    out.filter(F.col("shard").isin(changed)).write.partitionBy("shard").parquet(path)
+    moved = docs.sparkSession.read.schema(out.schema).parquet(path).select(out.columns)
+    return (moved if len(changed) == shards else moved.unionByName(out.filter(~F.col("shard").isin(changed)))), changed

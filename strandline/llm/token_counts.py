@@ -7,8 +7,10 @@ an old one past the edit, from where on all are as before; only leaves in betwee
 sums above them.
 
 Counts of pre-tokens are remembered, ``CACHE`` of them at most. Null and empty texts have no tokens. Edits of one document are
-applied in order, each to the text that the one before it left; an edit past the end is clipped to it. Rows are kept
-one by one, other columns ignored.
+applied in order, each to the text that the one before it left; an edit past the end is clipped to it. A null edit, or a null list, changes nothing; a
+null start is 0, a null end the start (nothing is removed), a null text empty. Very long texts, and long runs of one
+kind of character, are counted whole. Rows are kept one by one, repeated ones and null ids included; an empty table gives an empty one; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +29,21 @@ VOCABULARY, LEAF, CACHE = "/opt/tokenizers/byte_bpe_50k.tiktoken", 64, 200_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def vocabulary_of(path: str) -> dict[bytes, int]:
+    """Ranks of a vocabulary file, which only the driver reads; tasks get them by broadcast (its size doesn't depend on the data)."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class Counter:
     """Tokens of a pre-token, and the pre-tokens of a text."""
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.cut = regex.compile(PATTERN)
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.merge = own.encode_ordinary, own._encode_single_piece
         self.seen: dict[str, int] = {}
 
     def count(self, piece: str) -> int:
@@ -44,7 +51,7 @@ class Counter:
         if n is None:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            n = len(self.encode(piece))
+            n = len(self.merge(piece))  # the piece as it is: its pattern isn't matched again
             if len(piece) <= 64:
                 self.seen[piece] = n
         return n
@@ -166,15 +173,19 @@ def count_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     kind = docs.schema[doc_id].dataType.simpleString()
     changes = F.col(edits) if edits else F.array().cast("array<struct<start:int,end:int,text:string>>")
 
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = Counter(sent.value)
         for batch in batches:
             out = []
             for t, todo in zip(batch.column("text"), batch.column("edits"), strict=True):
                 tree = TokenTree(t.as_py() or "", counter)
                 pieces, before = sum(map(len, tree.leaves)), tree.total
                 for e in todo.as_py() or ():
-                    tree.edit(e["start"], e["end"], e["text"] or "")
+                    if e is not None:
+                        start = e["start"] or 0
+                        tree.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
                 out.append((pieces, before, tree.total, len(tree.text), tree.recut))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 5))], ["doc_id", "n_pretokens", "n_tokens", "n_tokens_after", "n_chars_after", "n_recut"])
 

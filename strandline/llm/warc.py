@@ -1,18 +1,23 @@
 """WARC archives: one gzip member per record, written by Spark and read back in sequence.
 
-Writing: of pages with equal payloads (by SHA-1 and length) of at least ``least`` bytes, that with the largest id is
+Writing: of pages with equal payloads (by SHA-256; records carry SHA-1) of at least ``least`` bytes, that with the largest id is
 a ``response`` and the others ``revisit`` records that refer to it and carry no payload; smaller pages are all
 responses, as are rows that share the largest id. Records are compressed one by one and written by Spark's own
 text writer, whose line separator is set to the byte 0 with which every gzip member ends (its length's high byte; where
 a record is so long that it isn't, an empty member follows), so files are plain concatenated members in any store that Spark writes to,
-through its commit protocol. ``per_file`` records go to a file at most.
+through its commit protocol. A task begins a new file after ``FILE_BYTES`` (folders ``roll=n``), and ``per_file`` records go to a file at most; so a file holds that
+many bytes and one record at most, however long pages are.
 
 Reading: members are decompressed step by step, the record header is read to its empty line, the block is framed
 by Content-Length, and block and payload digests are checked. A broken frame or digest raises an error that
 names the file and the offset.
 
+The reader gets a file as one value, so archives from elsewhere must be under 2 GiB each (those written here are far smaller); it
+inflates them step by step, a record at a time.
+
 A null html is an empty payload, a null url ``about:blank``; a null id is smallest and kept. Repeated rows are
-records of their own. Other columns are ignored.
+records of their own; among rows that share the largest id all are responses. Very long pages are read and written whole. An empty table gives no
+record. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, PER_FILE, STEP = 1000, 5000, 1 << 16
+LEAST, PER_FILE, STEP, FILE_BYTES = 1000, 5000, 1 << 16, 1 << 27
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -56,21 +61,31 @@ def member(data: bytes) -> bytes:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    written = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            rows = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 64):
+            rows = batch.slice(lo, 64)
             out = [member(record(i, u, h, r, d))[:-1] for i, u, h, r, d in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "digest")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            rolls = []
+            for one in out:
+                rolls.append(written // FILE_BYTES)
+                written += len(one) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rolls, pa.int32())], ["value", "roll"])
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, per_file: int = PER_FILE) -> None:
     """Writes the pages to archives under ``path``."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumns({"sha": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    groups = rows.filter(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = rows.join(groups, ["sha", "bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    out = marked.select("page_id", "url", "payload", "refers_to", F.unhex("sha").alias("digest")).mapInArrow(_members, "value binary")
-    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumns({"sha": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
+    long = rows.filter(F.col("bytes") >= least).groupBy("sha", "page_id").agg(F.lit(1).alias("one"))
+    groups = long.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # payloads meet what they refer to by their own id, which isn't hot, rather than by their digest
+    refers = long.join(groups, "sha").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", "sha", F.col("last").alias("refers_to"))
+    refers = refers.select(F.col("page_id").alias("of"), F.col("sha").alias("digest_of"), "refers_to")
+    marked = rows.join(refers, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("digest_of")), "left")
+    marked = marked.select("page_id", "url", "payload", "refers_to", F.unhex(F.sha1("payload")).alias("digest"))
+    out = marked.mapInArrow(_members, "value binary, roll int")
+    out.select(F.col("value").cast("string").alias("value"), "roll").write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).partitionBy("roll").text(path)
 
 
 def records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,4 +154,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=types)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(rows, SCHEMA)
