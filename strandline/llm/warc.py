@@ -5,7 +5,7 @@ a ``response`` and the others ``revisit`` records that refer to it and carry no
 responses, as are rows that share the largest id. Records are compressed one by one and written by Spark's own
 text writer, whose line separator is set to the byte 0 with which every gzip member ends (its length's high byte; where
 a record is so long that it isn't, an empty member follows), so files are plain concatenated members in any store that Spark writes to,
-through its commit protocol. A task begins a new file after ``FILE_BYTES`` (folders ``roll=n``), and ``per_file`` records go to a file at most; so a file holds that
+through its commit protocol. A task begins a new file after ``file_bytes`` (folders ``roll=n``), and ``per_file`` records go to a file at most; so a file holds that
 many bytes and one record at most, however long pages are.
 
 Reading: members are decompressed step by step, the record header is read to its empty line, the block is framed
@@ -60,20 +60,23 @@ def member(data: bytes) -> bytes:
     return out
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    written = 0
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            rows = batch.slice(lo, 64)
-            out = [member(record(i, u, h, r, d))[:-1] for i, u, h, r, d in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "digest")), strict=True)]
-            rolls = []
-            for one in out:
-                rolls.append(written // FILE_BYTES)
-                written += len(one) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rolls, pa.int32())], ["value", "roll"])
+def _members(file_bytes: int):
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                rows = batch.slice(lo, 64)
+                out = [member(record(i, u, h, r, d))[:-1] for i, u, h, r, d in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "digest")), strict=True)]
+                rolls = []
+                for one in out:
+                    rolls.append(written // file_bytes)
+                    written += len(one) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rolls, pa.int32())], ["value", "roll"])
+
+    return members
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, per_file: int = PER_FILE) -> None:
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Writes the pages to archives under ``path``."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumns({"sha": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
@@ -84,7 +87,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     refers = refers.select(F.col("page_id").alias("of"), F.col("sha").alias("digest_of"), "refers_to")
     marked = rows.join(refers, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("digest_of")), "left")
     marked = marked.select("page_id", "url", "payload", "refers_to", F.unhex(F.sha1("payload")).alias("digest"))
-    out = marked.mapInArrow(_members, "value binary, roll int")
+    out = marked.mapInArrow(_members(file_bytes), "value binary, roll int")
     out.select(F.col("value").cast("string").alias("value"), "roll").write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).partitionBy("roll").text(path)
 
 

@@ -207,12 +207,11 @@ def test_warc_round_trip(spark):
         assert (got[k].payload_bytes, got[k].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
 
 
-def test_warc_files_are_plain_members_and_roll_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+def test_warc_files_are_plain_members_and_roll_by_bytes(spark):
     rng = random.Random(3)
     rows = [(i, "u", "".join(rng.choice("abcdefgh") for _ in range(800))) for i in range(30)] + [(29, "u", "q" * 2000), (40, "u", "q" * 2000), (40, "v", "q" * 2000)]
     path = scratch(spark, "warc")
-    warc.write(spark.createDataFrame([(*r, 0, 0) for r in rows], "page_id long, url string, html string, sha int, last int").coalesce(1), path)
+    warc.write(spark.createDataFrame([(*r, 0, 0) for r in rows], "page_id long, url string, html string, sha int, last int").coalesce(1), path, file_bytes=2000)
     files = list(pathlib.Path(path).glob("roll=*/*.txt"))
     assert len(files) > 3
     data = b"".join(gzip.open(f).read() for f in files)
