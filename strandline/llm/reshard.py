@@ -128,8 +128,10 @@ def _solved(docs: DataFrame, old_shard: str, doc_id: str, text: str, shards: int
     full = F.sum("n").over(Window.partitionBy("old_shard"))
     saved = sizes.withColumns({"upto": upto, "full": full}).filter((F.col("old_shard") < shards) & (F.col("full") > least) & (F.col("upto") >= F.col("full") - least)).groupBy("old_shard").agg(F.min("size")).collect()
     moves = plan(blocks, shards, {r[0]: r[1] for r in saved})
-    before = Window.partitionBy("old_shard", "kind").orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # ranks before a size within the block, then before a hash part within the size: neither window has more than a row a size or a part
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    larger = parts.groupBy(*by[:3]).agg(F.sum("n").alias("n")).select(*by[:3], before(Window.partitionBy(*by[:2]).orderBy(F.desc("size"))).alias("larger"))
+    base = parts.withColumn("own", before(Window.partitionBy(*by[:3]).orderBy("part"))).join(larger, by[:3]).select(*by, (F.col("larger") + F.col("own")).alias("base"))
     dealt = spark.createDataFrame(moves, "old_shard int, kind int, lo long, hi long, shard int, slot0 long")
     own = Window.partitionBy(*by).orderBy("doc_id", F.xxhash64("text"))
     ranked = rows.withColumn("nth", F.row_number().over(own) - 1).join(base, by).withColumn("rank", F.col("base") + F.col("nth"))
