@@ -12,9 +12,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null for null, empty, all-zero or unequally long vectors."""
+    """Cosine similarity; 0 for empty, all-zero or unequally long vectors, null where one is null."""
     norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0))
+
+
+def cosine_shorter(a: Column, b: Column) -> Column:
+    """Cosine similarity over as many dimensions as the shorter vector has; 0 where a norm is."""
+    n = F.least(F.size(a), F.size(b))
+    return cosine(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))
 
 
 def tokens(text: Column) -> Column:
@@ -31,8 +37,37 @@ def association_weight(n: Column) -> Column:
     return 1 - F.exp(-n / 5)
 
 
-def bayes(prior: Column, likelihood: Column) -> Column:
-    return prior * likelihood / (prior * likelihood + (1 - prior) * (1 - likelihood))
+def bayes(prior: Column, evidence: Column) -> Column:
+    """Confidence after evidence, held between 0.025 and 0.975."""
+    both = prior * evidence
+    return 0.95 * both / F.greatest(both + (1 - prior) * (1 - evidence), F.lit(1e-9)) + 0.025
+
+
+def evidence(score: Column) -> Column:
+    """How strongly a recall's score speaks for what was recalled."""
+    return F.when(score >= 0.8, 0.8).when(score >= 0.5, 0.65).otherwise(0.55)
+
+
+def base_activation(count: Column, age_days: Column, decay: float = 0.5) -> Column:
+    """Activation that grows with uses and fades with age; a minute is the least age."""
+    n = count + 1
+    return F.log(n + 1) - decay * F.log(F.greatest(age_days, F.lit(1 / 1440)) / (n + 1))
+
+
+def retention(count: Column, spacing_days: Column, days: Column) -> Column:
+    """What is left of a memory after some days; uses, and space between them, make it last."""
+    stability = F.least(F.greatest(20 * F.log(count) * (1 + 0.5 * F.tanh(spacing_days / 7)), F.lit(14.0)), F.lit(365.0))
+    return F.greatest(F.lit(0.05), F.exp(-days / stability))
+
+
+def composite(cos: Column, fts: Column, activation: Column, hebbian: Column, confidence: Column, weights: tuple[float, float, float]) -> Column:
+    """Content match times use times confidence; ``weights`` are those of vector, text and association."""
+    vector, text, link = weights
+    return (vector * cos + text * F.tanh(fts)) * softplus(activation + link * hebbian) / (1 + softplus(F.lit(0.0))) * confidence
+
+
+#: Weights of vector and text search by mode (fixed values).
+MODES = {"semantic": (1.0, 0.0), "keyword": (0.0, 1.0), "hybrid": (0.7, 0.3)}
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import association_weight
 
+from .lineage import cut
+
 
 def pairs(items: DataFrame, batch: str, item: str, position: str) -> DataFrame:
     """Ordered pairs of different items within a batch, as src and dst; a batch is bounded by what is ingested at once."""
@@ -30,21 +32,99 @@ def boosts(edges: DataFrame, candidates: DataFrame, key: str = "key") -> DataFra
     return candidates.select(key).join(sums, key, "left").select(key, F.coalesce("boost", F.lit(0.0)).alias("boost"))
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions, the larger weight of either, each node's weights divided by their sum."""
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    return both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
+def incident(edges: DataFrame, nodes: DataFrame, end: str = "src", node: str = "node") -> DataFrame:
+    """Edges that have a node at the given end."""
+    return edges.join(nodes.select(F.col(node).alias(end)).distinct(), end, "left_semi")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge from both of its ends: ``node, other, weight, direction``."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight", F.lit("out").alias("direction"))
+    return out.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight", F.lit("in").alias("direction")))
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, cap: int = 2000) -> DataFrame:
+    """``query, src, dst, weight``: the graph around the seeds (``query, node``) of each query, weights divided by max(sum of a node's, 1).
+
+    Nodes are taken hop by hop, heaviest edge first (ties: the smaller node), up to ``cap`` for each query. An edge's weight counts once
+    for each hop that reaches it from a node of the hop before; both directions are added.
+    """
+    edges = cut(edges.select("src", "dst", "weight"))
+    way = both_ways(edges).filter("node <> other")
+    nodes = seeds.select("query", "node").distinct().withColumn("hop", F.lit(0))
+    for hop in range(hops):
+        known = nodes.select("query", F.col("node").alias("other"))
+        found = nodes.filter(F.col("hop") == hop).join(way, "node").join(known, ["query", "other"], "left_anti")
+        found = found.groupBy("query", "other").agg(F.max("weight").alias("weight"))
+        room = nodes.groupBy("query").agg((F.lit(cap) - F.count("*")).alias("room"))
+        order = Window.partitionBy("query").orderBy(F.desc("weight"), "other")
+        new = found.withColumn("place", F.row_number().over(order)).join(room, "query").filter("place <= room")
+        nodes = cut(nodes.unionByName(new.select("query", F.col("other").alias("node"), F.lit(hop + 1).alias("hop"))))
+    a = nodes.select("query", F.col("node").alias("src"), F.col("hop").alias("h1"))
+    b = nodes.select("query", F.col("node").alias("dst"), F.col("hop").alias("h2"))
+    reach = lambda h: (F.col(h) < hops).cast("int")
+    times = reach("h1") + reach("h2") - (F.col("h1") == F.col("h2")).cast("int") * reach("h1")
+    inside = edges.filter("src <> dst").join(a, "src").join(b, ["query", "dst"]).withColumn("weight", F.col("weight") * times)
+    raw = inside.select("query", "src", "dst", "weight").unionByName(inside.select("query", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("query", "src", "dst").agg(F.sum("weight").alias("weight"))
+    total = raw.groupBy("query", "src").agg(F.greatest(F.sum("weight"), F.lit(1.0)).alias("total"))
+    return raw.join(total, ["query", "src"]).select("query", "src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
+
+
+def settle(graph: DataFrame, seeds: DataFrame, damping: float = 0.7, eps: float = 1e-6, rounds: int = 20) -> DataFrame:
+    """Activation ``query, node, activation``: (1 - damping) x seed + damping x what neighbours send, until it moves by less than ``eps``
+    in all, or for ``rounds`` rounds. One task a query; a neighbourhood's node cap bounds it."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
 
+    def one(key: tuple, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([own["node"], edges["src"], edges["dst"]]))
+        src, dst = np.searchsorted(names, edges["src"]), np.searchsorted(names, edges["dst"])
+        seed = np.bincount(np.searchsorted(names, own["node"]), own["mass"], len(names))
+        now = seed
+        for _ in range(rounds):
+            then = (1 - damping) * seed + damping * np.bincount(dst, now[src] * edges["weight"].to_numpy(), len(names))
+            moved, now = np.abs(then - now).sum(), then
+            if moved < eps:
+                break
+        return pd.DataFrame({"query": key[0], "node": names, "activation": now})
 
-def settle(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 3) -> DataFrame:
-    """Activation ``node, activation`` after a fixed number of rounds: (1 - damping) x seed + damping x what neighbours send.
+    # both come from the seeds: new columns tell them apart
+    fresh = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))
+    left, right = fresh(graph, "query", "src", "dst", "weight"), fresh(seeds, "query", "node", "mass")
+    return left.groupBy("query").cogroup(right.groupBy("query")).applyInPandas(one, f"query {kinds['query']}, node {kinds['node']}, activation double")
 
-    ``edges`` are normalised per source. Each round is one join and one sum by node.
+
+def expansion(activation: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nodes of the highest activation of each query that are no seeds, with their ``place``."""
+    order = Window.partitionBy("query").orderBy(F.desc("activation"), "node")
+    rest = activation.join(seeds.select("query", "node").distinct(), ["query", "node"], "left_anti")
+    return rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def seed_mass(hits: DataFrame) -> DataFrame:
+    """``query, node, mass`` of hits (``query, tier, node, score``): scores over their tier's largest, the mean over tiers, shares of the whole.
+
+    Tiers without a positive score add nothing, but their hits count as tiers of a node.
     """
-    base = seeds.select("node", F.col("mass").alias("seed"))
-    state = base.select("node", F.col("seed").alias("activation"))
-    for _ in range(rounds):
-        sent = state.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("activation") * F.col("weight")).alias("got"))
-        state = base.join(sent, "node", "full").select("node", ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("activation"))
-    return state
+    top = hits.groupBy("query", "tier").agg(F.max("score").alias("top"))
+    each = hits.join(top, ["query", "tier"]).groupBy("query", "node").agg((F.sum(F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0)) / F.count("*")).alias("raw"))
+    total = each.groupBy("query").agg(F.sum("raw").alias("total"))
+    return each.join(total, "query").filter("total > 0").select("query", "node", (F.col("raw") / F.col("total")).alias("mass"))
+
+
+def decayed(edges: DataFrame, days: str, factor: float = 0.999, least: float = 0.001) -> DataFrame:
+    """Edges whose last use is more than a day back lose a part of their weight; those that get under ``least`` go."""
+    weight = F.when(F.col(days) > 1, F.col("weight") * factor).otherwise(F.col("weight"))
+    return edges.withColumn("weight", weight).filter(F.col("weight") >= least)
+
+
+#: What an association of a type adds to a boost.
+TYPE_SIGNS = {"hebbian": 1.0, "supports": 0.5, "contradicts": -0.5}
+
+
+def typed_boosts(edges: DataFrame, kind: str = "kind") -> DataFrame:
+    """``node, boost``: the signed weights of a node's edges in either direction; other types add nothing."""
+    sign = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPE_SIGNS.items() for x in pair]), F.col(kind)), F.lit(0.0))
+    return edges.select(F.explode(F.array("src", "dst")).alias("node"), (F.col("weight") * sign).alias("w")).groupBy("node").agg(F.sum("w").alias("boost"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores, a task each.
+RANGES = 64
+
+
 def entropy(rows: DataFrame, bucket: str) -> DataFrame:
     """Shannon entropy in bits of a column's values: one row ``entropy``."""
     counts = rows.groupBy(bucket).agg(F.count("*").alias("n"))
@@ -17,6 +21,13 @@ def entropy(rows: DataFrame, bucket: str) -> DataFrame:
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Mann-Whitney AUC with average ranks, from counts per distinct score: one row ``n_pos, n_neg, auc``."""
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive) == 1).alias("p"), F.count_if(F.col(positive) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # scores are dealt into ranges by quantiles; a range adds up what lies below it, and within a range a window does
+    cuts = per.approxQuantile("s", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES) if RANGES > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("s"))) if cuts else F.lit(0)
+    per = per.withColumn("place", place)
+    every = per.groupBy("place").agg(F.sum("q").alias("q"))  # RANGES rows at most
+    base = every.withColumn("base", F.coalesce(F.sum("q").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("q")
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy("place").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per, below = per.withColumn("inside", inside).join(F.broadcast(base), "place"), F.col("base") + F.col("inside")
     wins = per.withColumn("below", below).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"))
     return wins.select("n_pos", "n_neg", (F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))

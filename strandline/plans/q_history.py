@@ -59,10 +59,11 @@ def prunable(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("n", n).filter("n > 3").select("o_custkey", "o_orderkey")
 
 
-@query("src09_upsert_flags", "WITH k AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0) SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM k WHERE k.o_orderkey = i.o_orderkey) AS inserted FROM i UNION ALL SELECT o_orderkey, NULL FROM k WHERE o_orderkey % 2 <> 0")
+@query("src09_upsert_flags", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1995-01-01' THEN o_orderdate >= TIMESTAMP '1997-01-01' END AS inserted FROM orders")
 def upsert_flags(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return sessions.upsert(orders.filter("o_orderkey % 3 = 0"), orders.filter("o_orderkey % 2 = 0"), "o_orderkey").select("o_orderkey", "inserted")
+    """Orders up to 1996 are known; those from 1995 on come in."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return sessions.upsert(orders.filter("o_orderdate < TIMESTAMP_NTZ '1997-01-01'"), orders.filter("o_orderdate >= TIMESTAMP_NTZ '1995-01-01'"), "o_orderkey").select("o_orderkey", "inserted")
 
 
 @query("win07_clean_prefix", "SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN length(text) > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b = 0")
@@ -117,10 +118,9 @@ def excluded(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(~F.lower("source").isin("src0", "src1")).select("doc_id")
 
 
-@query("flt23_hold_out", "SELECT doc_id, CAST('0x' || right(sha256(CAST(doc_id AS VARCHAR)), 12) AS BIGINT) % 4 = 0 AS quarter FROM documents")
+@query("flt23_hold_out", "SELECT doc_id, list_reduce(list_prepend(0, list_transform(string_split(sha256(CAST(doc_id AS VARCHAR)), ''), lambda c: strpos('0123456789abcdef', c) - 1)), lambda m, d: (m * 16 + d) % 100) < 20 AS held FROM documents")
 def hold_out(spark, sf_dir):
-    digest = F.sha2(F.col("doc_id").cast("string"), 256)
-    return table(spark, sf_dir, "documents").select("doc_id", (F.conv(F.right(digest, F.lit(12)), 16, 10).cast("long") % 4 == 0).alias("quarter"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.held_out(F.col("doc_id").cast("string")).alias("held"))
 
 
 @query("jn10_anti_join", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
@@ -135,7 +135,7 @@ def scoped(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(members, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("fn22_scalars", "SELECT event_id, round(CASE WHEN value / 10 > 20 THEN value / 10 ELSE ln(1 + exp(value / 10)) END, 6) AS softplus, round(0.3 * 0.8 / (0.3 * 0.8 + 0.7 * 0.2), 6) AS bayes FROM events")
+@query("fn22_scalars", "SELECT event_id, round(CASE WHEN value / 10 > 20 THEN value / 10 ELSE ln(1 + exp(value / 10)) END, 6) AS softplus, round(0.95 * 0.24 / greatest(0.24 + 0.7 * 0.2, 1e-9) + 0.025, 6) AS bayes FROM events")
 def scalar_functions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(scalars.softplus(F.col("value") / 10), 6).alias("softplus"), F.round(scalars.bayes(F.lit(0.3), F.lit(0.8)), 6).alias("bayes"))
 

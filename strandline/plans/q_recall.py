@@ -2,74 +2,102 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import cosine
+from strandline.functions import scalars
+from strandline.functions.scalars import cosine, tokens
 from strandline.operators import graph, ranking, search
 
 from .registry import query, table
 
-TERMS = ["the", "und", "que", "thble"]
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
-_COS = "list_dot_product(CAST(embedding AS DOUBLE[]), q) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(q, q))"
-_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
-_VEC = f"SELECT vec_id AS key, {_COS} AS score FROM embeddings, {_Q} ORDER BY score DESC, key LIMIT 50"
-_IDF = ", ".join(f"('{t}')" for t in TERMS)
+_COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), q) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(q, q))"
+_Q = "(SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0)"
+_VEC = f"SELECT query, e.vec_id AS key, {_COS} AS score, row_number() OVER (PARTITION BY query ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, {_Q} QUALIFY rank <= 50"
 _BM25 = f"""
-SELECT key, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score FROM
-(SELECT doc_id AS key, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf,
-        count(*) OVER (PARTITION BY term) AS n, avg(len(w)) OVER (PARTITION BY term) AS avg_len,
-        count(*) FILTER (WHERE list_contains(w, term)) OVER (PARTITION BY term) AS df
- FROM (SELECT doc_id, {_TOK} AS w FROM documents), (VALUES {_IDF}) AS q(term))
-WHERE tf > 0 GROUP BY key"""
+SELECT query, key, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score FROM
+(SELECT doc_id AS key, len(w) AS len, count(*) OVER () AS n, avg(len(w)) OVER () AS avg_len FROM (SELECT doc_id, {_TOK} AS w FROM documents))
+JOIN (SELECT doc_id AS key, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY doc_id, term) USING (key)
+JOIN (SELECT doc_id AS query, unnest({_TOK}[5:8]) AS term FROM documents WHERE doc_id % 50 = 0) USING (term)
+GROUP BY query, key"""
 
 
-def _vector(spark, sf_dir):
+def _vector(spark, sf_dir, k=50):
     vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.filter("vec_id = 0").select("embedding").first()
-    return search.nearest(vectors, [float(x) for x in q[0]], 50)
+    return search.nearest(vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")), k)
 
 
 def _keyword(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), TERMS)
+    """Scores of all documents for the fifth to eighth words of those whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    terms = F.slice(tokens(F.col("text")), 5, 4)
+    return search.bm25(docs, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.explode(terms).alias("term")))
 
 
-@query("top03_vector_topk", f"SELECT key, round(score, 6) AS score FROM ({_VEC})")
+@query("top03_vector_topk", f"SELECT query, key, rank, round(score, 6) AS score FROM ({_VEC})")
 def vector_topk(spark, sf_dir):
-    return _vector(spark, sf_dir).select("key", F.round("score", 6).alias("score"))
+    return _vector(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query("fn09_bm25", f"SELECT key, round(score, 6) AS score FROM ({_BM25})")
+@query("fn09_bm25", f"SELECT query, key, round(score, 6) AS score FROM ({_BM25})")
 def keyword(spark, sf_dir):
-    return _keyword(spark, sf_dir).select("key", F.round("score", 6).alias("score"))
+    return _keyword(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 _LISTS = f"""
-v AS (SELECT 1 AS tier, key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM ({_VEC})),
-k AS (SELECT 2 AS tier, key, row_number() OVER (ORDER BY round(score, 6) DESC, key) AS rank FROM ({_BM25}) QUALIFY rank <= 50),
+v AS (SELECT query, 1 AS tier, key, rank FROM ({_VEC})),
+k AS (SELECT query, 2 AS tier, key, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, key) AS rank FROM ({_BM25}) QUALIFY rank <= 50),
 l AS (SELECT * FROM v UNION ALL SELECT * FROM k)"""
 
 
 def _lists(spark, sf_dir):
-    v = _vector(spark, sf_dir).select(F.lit(1).alias("tier"), "key", "score")
-    k = keyword(spark, sf_dir).select(F.lit(2).alias("tier"), "key", "score").orderBy(F.desc("score"), "key").limit(50)
-    return ranking.ranked(v.unionByName(k), "tier")
+    v = _vector(spark, sf_dir).select("query", F.lit(1).alias("tier"), "key", "rank")
+    k = ranking.ranked(keyword(spark, sf_dir).withColumn("tier", F.lit(2)), "query").filter("rank <= 50").select("query", "tier", "key", "rank")
+    return v.unionByName(k)
 
 
-@query("recall_fused", f"WITH {_LISTS} SELECT key, round(sum(1.0 / (60 + rank)), 9) AS rrf, CAST(count(*) AS BIGINT) AS n_tiers FROM l GROUP BY key")
+@query("recall_fused", f"WITH {_LISTS}, f AS (SELECT query, key, sum(1.0 / (60 + rank)) AS s, count(*) AS n_tiers FROM l GROUP BY ALL) SELECT query, key, n_tiers, round(s, 9) AS rrf, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, key) AS place FROM f QUALIFY place <= 20")
 def recall_fused(spark, sf_dir):
-    """agg10: vector and keyword lists fused by reciprocal rank."""
-    return _lists(spark, sf_dir).groupBy("key").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("rrf"), F.count("*").alias("n_tiers"))
+    """Each query's vector and keyword lists, fused by reciprocal rank and cut to the twenty best."""
+    each = _lists(spark, sf_dir).groupBy("query", "key").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("rrf"), F.count("*").alias("n_tiers"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rrf"), "key"))).filter("place <= 20")
 
 
-@query("agg10_rrf_first_seen", f"WITH {_LISTS} SELECT key, round(sum(1.0 / (60 + rank)), 9) AS rrf, arg_min(tier, tier * 1000 + rank) AS first_tier, arg_min(rank, tier * 1000 + rank) AS first_rank FROM l GROUP BY key")
+@query("agg10_rrf_first_seen", f"WITH {_LISTS} SELECT query, key, round(sum(1.0 / (60 + rank)), 9) AS rrf, arg_min(tier, tier * 1000 + rank) AS first_tier, arg_min(rank, tier * 1000 + rank) AS first_rank FROM l GROUP BY query, key")
 def rrf_first_seen(spark, sf_dir):
-    return ranking.rrf(_lists(spark, sf_dir)).withColumns({"rrf": F.round("rrf", 9), "first_rank": F.col("first_rank").cast("long")})
+    return ranking.rrf(_lists(spark, sf_dir), 60, "query", "key").withColumn("rrf", F.round("rrf", 9))
 
 
-@query("agg12_max_normalised", f"SELECT key, round(score / max(score) OVER (), 6) AS norm FROM ({_BM25})")
+@query("agg11_rrf_filled", f"WITH {_LISTS} SELECT query, key, round(sum(1.0 / (60 + rank)) + (2 - count(*)) / 1000060.0, 9) AS rrf FROM l GROUP BY query, key")
+def rrf_filled(spark, sf_dir):
+    return ranking.rrf_filled(_lists(spark, sf_dir), 2).withColumn("rrf", F.round("rrf", 9))
+
+
+@query("agg12_max_normalised", f"SELECT query, key, round(score / max(score) OVER (PARTITION BY query), 6) AS norm FROM ({_BM25})")
 def max_normalised(spark, sf_dir):
-    return ranking.max_normalised(_keyword(spark, sf_dir).withColumn("tier", F.lit(1)), "score", "norm", "tier").select("key", F.round("norm", 6).alias("norm"))
+    return ranking.max_normalised(_keyword(spark, sf_dir), "score", "norm", "query").select("query", "key", F.round("norm", 6).alias("norm"))
+
+
+@query("agg13_seed_mass", f"WITH h AS (SELECT query, 1 AS tier, key, score FROM ({_VEC}) UNION ALL SELECT query, 2, key, score FROM ({_BM25})), r AS (SELECT query, key AS node, avg(CASE WHEN top > 0 THEN score / top ELSE 0 END) AS raw FROM (SELECT *, max(score) OVER (PARTITION BY query, tier) AS top FROM h) GROUP BY ALL) SELECT query, node, round(raw / sum(raw) OVER (PARTITION BY query), 9) AS mass FROM r")
+def seed_mass(spark, sf_dir):
+    v = _vector(spark, sf_dir).select("query", F.lit(1).alias("tier"), F.col("key").alias("node"), "score")
+    k = _keyword(spark, sf_dir).select("query", F.lit(2).alias("tier"), F.col("key").alias("node"), "score")
+    return graph.seed_mass(v.unionByName(k)).withColumn("mass", F.round("mass", 9))
+
+
+_FUSE = f"{_LISTS}, r AS (SELECT query, key, sum(1.0 / (60 + rank)) AS rrf, max(1.0 / rank) FILTER (WHERE tier = 2) AS rerank, max(1.0 / rank) FILTER (WHERE tier = 1) AS act FROM l GROUP BY ALL), t AS (SELECT *, max(rrf) OVER w AS a, max(rerank) OVER w AS b, max(act) OVER w AS c FROM r WINDOW w AS (PARTITION BY query))"
+
+
+@query("ml02_three_channels", f"WITH {_FUSE} SELECT query, key, round(CASE WHEN rerank IS NULL THEN rrf / a + 0.2 * coalesce(act, 0) / coalesce(c, 1) ELSE 0.3 * rrf / a + 0.5 * rerank / b + 0.2 * coalesce(act, 0) / coalesce(c, 1) END, 9) AS score FROM t")
+def three_channels(spark, sf_dir):
+    """Fused ranks, a rerank score (here the keyword list's) and an activation (here the vector list's)."""
+    inverse = lambda tier: F.max(F.when(F.col("tier") == tier, 1 / F.col("rank")))
+    each = _lists(spark, sf_dir).groupBy("query", "key").agg(F.sum(1 / (60 + F.col("rank"))).alias("rrf"), inverse(2).alias("rerank"), inverse(1).alias("act"))
+    top = Window.partitionBy("query")  # at most a hundred rows a query
+    each = each.withColumns({c: F.max(x).over(top) for c, x in (("a", "rrf"), ("b", "rerank"), ("c", "act"))})
+    score = ranking.fused(F.col("rrf"), F.col("rerank"), F.col("act"), (F.col("a"), F.col("b"), F.col("c")), 0.5, 0.2)
+    return each.select("query", "key", F.round(score, 9).alias("score"))
 
 
 @query("agg19_centroid", "SELECT label, i, round(avg(x) / sqrt(sum(pow(avg(x), 2)) OVER (PARTITION BY label)), 6) AS x FROM (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, i")
@@ -81,11 +109,12 @@ def centroid(spark, sf_dir):
     return dims.select("label", F.col("i").cast("long").alias("i"), F.round(F.col("x") / norm, 6).alias("x"))
 
 
-@query("fn01_cosine", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, {_Q}")
+@query("fn01_cosine", f"SELECT query, e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q}")
 def cosine_all(spark, sf_dir):
+    """Every fiftieth vector against all; a vector of another length, or none, would score 0."""
     v = table(spark, sf_dir, "embeddings")
-    q = [float(x) for x in v.filter("vec_id = 0").select("embedding").first()[0]]
-    return v.select("vec_id", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, q))), 6).alias("score"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return v.join(q).select("query", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 _PAIRS = "SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_partkey <> b.l_partkey"
@@ -106,17 +135,136 @@ def coactivation_fold(spark, sf_dir):
     return graph.fold(_pairs(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query("agg14_hebbian_boost", f"WITH e AS ({_EDGES}), c AS (SELECT p_partkey AS key FROM part WHERE p_partkey <= 500) SELECT key, round(coalesce((SELECT sum(weight) FROM e WHERE src = key AND dst IN (SELECT key FROM c)), 0), 6) AS boost FROM c")
+@query("agg14_hebbian_boost", f"WITH e AS ({_EDGES}), c AS (SELECT p_partkey AS key FROM part WHERE p_size > 10), b AS (SELECT src, sum(weight) AS boost FROM e WHERE dst IN (SELECT key FROM c) GROUP BY src) SELECT key, round(coalesce(boost, 0), 6) AS boost FROM c LEFT JOIN b ON src = key")
 def hebbian(spark, sf_dir):
-    candidates = table(spark, sf_dir, "part").filter("p_partkey <= 500").select(F.col("p_partkey").alias("key"))
+    candidates = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("key"))
     return graph.boosts(graph.fold(_pairs(spark, sf_dir)), candidates).withColumn("boost", F.round("boost", 6))
 
 
-_NORM = f"b AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM ({_EDGES}) UNION ALL SELECT dst, src, weight FROM ({_EDGES})) GROUP BY ALL), e AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM b)"
-_STEP = "SELECT coalesce(node, n2) AS node, 0.5 * coalesce(seed, 0) + 0.5 * coalesce(got, 0) AS activation FROM s0 FULL JOIN (SELECT dst AS n2, sum(activation * weight) AS got FROM {0} JOIN e ON node = src GROUP BY dst) ON node = n2"
+HOPS, CAP, ROUNDS = 2, 60, 20
+_HOP = """h{0} AS (SELECT query, node, {0} AS hop FROM (SELECT query, other AS node, row_number() OVER (PARTITION BY query ORDER BY max(weight) DESC, other) AS place
+ FROM n{1} JOIN w USING (node) WHERE hop = {1} AND NOT EXISTS (SELECT 1 FROM n{1} k WHERE k.query = n{1}.query AND k.node = other) GROUP BY query, other)
+ JOIN (SELECT query, {2} - count(*) AS room FROM n{1} GROUP BY query) USING (query) WHERE place <= room), n{0} AS (SELECT * FROM n{1} UNION ALL SELECT * FROM h{0})"""
+_GRAPH = f"""
+d AS MATERIALIZED ({_EDGES}), w AS MATERIALIZED (SELECT src AS node, dst AS other, weight FROM d UNION ALL SELECT dst, src, weight FROM d),
+n0 AS (SELECT p_partkey AS query, p_partkey AS node, 0 AS hop FROM part WHERE p_partkey % 50 = 0),
+{_HOP.format(1, 0, CAP)}, {_HOP.format(2, 1, CAP)},
+i AS (SELECT a.query, d.src, d.dst, d.weight * ((a.hop < {HOPS})::INT + (b.hop < {HOPS})::INT - (a.hop = b.hop AND a.hop < {HOPS})::INT) AS weight
+      FROM d JOIN n2 a ON a.node = d.src JOIN n2 b ON b.node = d.dst AND b.query = a.query),
+r AS (SELECT query, src, dst, sum(weight) AS weight FROM (SELECT query, src, dst, weight FROM i UNION ALL SELECT query, dst, src, weight FROM i) GROUP BY ALL),
+g AS MATERIALIZED (SELECT query, src, dst, weight / greatest(sum(weight) OVER (PARTITION BY query, src), 1) AS weight FROM r)"""
+_ACT = """a{0} AS MATERIALIZED (SELECT query, node, act, done OR sum(abs(act - was)) OVER (PARTITION BY query) < 1e-6 AS done FROM (
+ SELECT query, node, done, p.act AS was, CASE WHEN done THEN p.act ELSE 0.3 * (query = node)::INT + 0.7 * coalesce(got, 0) END AS act
+ FROM a{1} p LEFT JOIN (SELECT query, dst AS node, sum(act * weight) AS got FROM a{1} JOIN g USING (query) WHERE node = src GROUP BY ALL) USING (query, node)))"""
+_SETTLED = f"{_GRAPH}, a0 AS MATERIALIZED (SELECT query, node, (query = node)::INT::DOUBLE AS act, false AS done FROM n2), " + ", ".join(_ACT.format(i + 1, i) for i in range(ROUNDS))
+
+
+def _around(spark, sf_dir):
+    """The neighbourhoods of every fiftieth part, each the seed of its own query, and the seeds."""
+    edges = graph.fold(_pairs(spark, sf_dir))
+    seeds = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.col("p_partkey").alias("node"), F.lit(1.0).alias("mass"))
+    return graph.neighbourhood(edges, seeds, HOPS, CAP), seeds
+
 
+@query("ml05_settle_graph", f"WITH {_GRAPH} SELECT query, src, dst, round(weight, 9) AS weight FROM g")
+def settle_graph(spark, sf_dir):
+    return _around(spark, sf_dir)[0].withColumn("weight", F.round("weight", 9))
 
-@query("settle_activation", f"WITH {_NORM}, s0 AS (SELECT p_partkey AS node, 0.2 AS seed FROM part WHERE p_partkey <= 5), a0 AS (SELECT node, seed AS activation FROM s0), a1 AS ({_STEP.format('a0')}), a2 AS ({_STEP.format('a1')}) SELECT node, round(activation, 9) AS activation FROM a2")
+
+@query("settle_activation", f"WITH {_SETTLED} SELECT query, node, round(act, 8) AS activation FROM a{ROUNDS} WHERE act > 0")
 def settle(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").filter("p_partkey <= 5").select(F.col("p_partkey").alias("node"), F.lit(0.2).alias("mass"))
-    return graph.settle(graph.symmetric(graph.fold(_pairs(spark, sf_dir))), seeds, 0.5, 2).withColumn("activation", F.round("activation", 9))
+    """ml06: the fixed point, or what it is after twenty rounds."""
+    found, seeds = _around(spark, sf_dir)
+    return graph.settle(found, seeds).filter("activation > 0").withColumn("activation", F.round("activation", 8))
+
+
+@query("ml07_expansion", f"WITH {_SETTLED} SELECT query, node, p_name, row_number() OVER (PARTITION BY query ORDER BY round(act, 8) DESC, node) AS place FROM a{ROUNDS} JOIN part ON p_partkey = node WHERE node <> query AND act > 0 QUALIFY place <= 10")
+def expansion(spark, sf_dir):
+    """top08, ml08: the ten nodes of the highest activation that are no seeds, with their text."""
+    found, seeds = _around(spark, sf_dir)
+    act = graph.settle(found, seeds).filter("activation > 0").withColumn("activation", F.round("activation", 8))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_name")
+    return graph.expansion(act, seeds, 10).join(names, "node").select("query", "node", "p_name", "place")
+
+
+@query("jn11_by_source", f"WITH e AS ({_EDGES}) SELECT src, dst, n FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size = 7)")
+def by_source(spark, sf_dir):
+    few = table(spark, sf_dir, "part").filter("p_size = 7").select(F.col("p_partkey").alias("node"))
+    return graph.incident(graph.fold(_pairs(spark, sf_dir)), few).select("src", "dst", "n")
+
+
+@query("jn12_by_target", f"WITH e AS ({_EDGES}) SELECT src, dst, n FROM e WHERE dst IN (SELECT p_partkey FROM part WHERE p_size = 7)")
+def by_target(spark, sf_dir):
+    few = table(spark, sf_dir, "part").filter("p_size = 7").select(F.col("p_partkey").alias("node"))
+    return graph.incident(graph.fold(_pairs(spark, sf_dir)), few, "dst").select("src", "dst", "n")
+
+
+@query("set02_both_directions", f"WITH e AS ({_EDGES}) SELECT src AS node, dst AS other, 'out' AS direction, round(weight, 9) AS weight FROM e UNION ALL SELECT dst, src, 'in', round(weight, 9) FROM e")
+def both_directions(spark, sf_dir):
+    return graph.both_ways(graph.fold(_pairs(spark, sf_dir))).withColumn("weight", F.round("weight", 9))
+
+
+_KIND = "CASE (src + dst) % 4 WHEN 0 THEN 'hebbian' WHEN 1 THEN 'supports' WHEN 2 THEN 'contradicts' ELSE 'cites' END"
+
+
+@query("agg15_typed_boost", f"WITH e AS (SELECT *, {_KIND} AS kind FROM ({_EDGES})), s AS (SELECT src AS node, kind, weight FROM e UNION ALL SELECT dst, kind, weight FROM e) SELECT node, round(sum(weight * CASE kind WHEN 'hebbian' THEN 1 WHEN 'supports' THEN 0.5 WHEN 'contradicts' THEN -0.5 ELSE 0 END), 6) AS boost FROM s GROUP BY node")
+def typed_boost(spark, sf_dir):
+    return graph.typed_boosts(graph.fold(_pairs(spark, sf_dir)).withColumn("kind", F.expr(_KIND))).withColumn("boost", F.round("boost", 6))
+
+
+@query("flt19_positive_boosts", f"WITH e AS ({_EDGES}) SELECT src AS key, round(sum(weight), 6) AS boost, row_number() OVER (ORDER BY round(sum(weight), 6) DESC, src) AS place FROM e GROUP BY src HAVING sum(weight) > 0 QUALIFY place <= 100")
+def positive_boosts(spark, sf_dir):
+    """top07: the hundred candidates of the largest boosts, ties in their own order; without a boost they are dropped."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    found = graph.boosts(graph.fold(_pairs(spark, sf_dir)), parts).filter("boost > 0").withColumn("boost", F.round("boost", 6))
+    top = found.orderBy(F.desc("boost"), "key").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("boost"), "key")))  # a hundred rows
+
+
+@query("st12_edge_decay", f"WITH e AS (SELECT src, dst, (src * 7 + dst) % 3 AS days, weight FROM ({_EDGES})) SELECT src, dst, round(weight * CASE WHEN days > 1 THEN 0.9 ELSE 1 END, 9) AS weight FROM e WHERE weight * CASE WHEN days > 1 THEN 0.9 ELSE 1 END >= 0.17")
+def edge_decay(spark, sf_dir):
+    aged = graph.fold(_pairs(spark, sf_dir)).withColumn("days", F.expr("(src * 7 + dst) % 3"))
+    return graph.decayed(aged, "days", 0.9, 0.17).select("src", "dst", F.round("weight", 9).alias("weight"))
+
+
+@query("jn14_reviewed_pairs", f"WITH e AS ({_EDGES}) SELECT src, dst, a.p_name AS one, b.p_name AS other FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_type = b.p_type AND a.p_brand <> b.p_brand")
+def reviewed_pairs(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    end = lambda key, name: part.select(F.col("p_partkey").alias(key), F.col("p_name").alias(name), F.col("p_type").alias(f"{key}_type"), F.col("p_brand").alias(f"{key}_brand"))
+    both = graph.fold(_pairs(spark, sf_dir)).join(end("src", "one"), "src").join(end("dst", "other"), "dst")
+    return both.filter("src_type = dst_type AND src_brand <> dst_brand").select("src", "dst", "one", "other")
+
+
+@query("jn15_similar_of_a_group", f"SELECT query, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM (SELECT q.vec_id AS query, e.vec_id AS key, {_COS} AS score FROM embeddings e JOIN (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0) q ON e.label = q.label AND e.vec_id <> q.vec_id) WHERE score >= 0.05 QUALIFY place <= 50")
+def similar_of_a_group(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "label", F.col("embedding").alias("q"))
+    near = v.join(q, "label").filter("vec_id <> query").select("query", F.col("vec_id").alias("key"), cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.05")
+    return ranking.ranked(near, "query").filter("rank <= 50").select("query", "key", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+
+
+@query("win10_near_duplicate", f"SELECT query, key, round(score, 6) AS score FROM ({_VEC.replace('rank <= 50', 'rank BETWEEN 2 AND 4')}) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) = 1")
+def near_duplicate(spark, sf_dir):
+    """Of the three nearest beside a query itself, the first that is near enough."""
+    near = _vector(spark, sf_dir, 4).filter("rank >= 2 AND score >= 0.3")
+    return near.groupBy("query").agg(F.min_by(F.struct("key", "score"), "rank").alias("b")).select("query", "b.key", F.round("b.score", 6).alias("score"))
+
+
+@query("jn08_pairs_of_hits", f"WITH h AS (SELECT query, key FROM ({_VEC}) WHERE rank <= 10) SELECT a.query, a.key AS src, b.key AS dst FROM h a JOIN h b ON a.query = b.query AND a.key < b.key")
+def pairs_of_hits(spark, sf_dir):
+    """Pairs of the ten hits of each query."""
+    h = _vector(spark, sf_dir, 10).select("query", "key")
+    return h.alias("a").join(h.alias("b"), "query").filter("a.key < b.key").select("query", F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
+
+
+@query("agg09_best_of_grain", f"WITH h AS (SELECT query, key // 10 AS grain, key, round(score, 6) AS score FROM ({_VEC})) SELECT query, grain, key, score FROM h QUALIFY row_number() OVER (PARTITION BY query, grain ORDER BY score DESC, key) = 1")
+def best_of_grain(spark, sf_dir):
+    hits = _vector(spark, sf_dir).select("query", F.expr("key div 10").alias("grain"), "key", F.round("score", 6).alias("score"))
+    return ranking.best_per_key(hits, "query", key="grain", tie="key")
+
+
+@query("fn02_cosine_shorter", "SELECT vec_id, round(list_cosine_similarity(embedding[1:16]::DOUBLE[], q[1:16]), 6) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)")
+def cosine_shorter(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id = 0").select(F.slice("embedding", 1, 16).alias("q"))
+    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(scalars.cosine_shorter(F.col("embedding"), F.col("q")), 6).alias("score"))  # one row

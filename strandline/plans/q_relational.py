@@ -63,9 +63,10 @@ def all_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(tx.has_all(tokens(F.col("text")), ["the", "and", "that"])).select("doc_id")
 
 
-@query("flt11_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ment')")
+@query("flt11_substring", "SELECT doc_id FROM documents WHERE text ILIKE '%m_nt%'")
 def substring(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("ment"))).select("doc_id")
+    """As ILIKE: ``%`` and ``_`` in what is asked for are wildcards."""
+    return table(spark, sf_dir, "documents").filter(F.ilike("text", F.lit("%m_nt%"))).select("doc_id")
 
 
 @query("flt12_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
@@ -85,10 +86,10 @@ def optional_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
-@query("jn13_in_set_edges", "SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey % 3 = 0 GROUP BY ALL")
+@query("jn13_in_set_edges", "WITH k AS (SELECT l_partkey AS node FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R' UNION SELECT l_suppkey FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R') SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT node FROM k) AND l_suppkey IN (SELECT node FROM k) GROUP BY ALL")
 def in_set_edges(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
-    nodes = table(spark, sf_dir, "lineitem").select(F.explode(F.array("l_partkey", "l_suppkey")).alias("node")).filter("node % 3 = 0")
+    nodes = table(spark, sf_dir, "lineitem").filter("l_quantity > 30 AND l_returnflag = 'R'").select(F.explode(F.array("l_partkey", "l_suppkey")).alias("node"))
     return matching.inside(edges, nodes, "node").select("src", "dst", "n")
 
 
@@ -137,10 +138,13 @@ def top_tags(spark, sf_dir):
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(10)
 
 
-@query("agg08_next_version", "SELECT c_custkey, count(o_orderkey) + 1 AS next FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("agg08_next_version", "WITH v AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age FROM orders) SELECT c_custkey, coalesce(max(version) FILTER (WHERE age <= 3), 0) + 1 AS next FROM customer LEFT JOIN v ON o_custkey = c_custkey GROUP BY c_custkey")
 def next_version(spark, sf_dir):
-    numbered = table(spark, sf_dir, "orders").withColumn("version", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    last = numbered.groupBy("o_custkey").agg(F.max("version").cast("long").alias("last"))
+    """One past the largest version that is left after old ones were pruned."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    back = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    kept = table(spark, sf_dir, "orders").withColumns({"version": F.row_number().over(order), "age": F.row_number().over(back)}).filter("age <= 3")
+    last = kept.groupBy("o_custkey").agg(F.max("version").cast("long").alias("last"))
     return table(spark, sf_dir, "customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", (F.coalesce("last", F.lit(0)) + 1).alias("next"))
 
 

@@ -7,39 +7,71 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import scalars
+from strandline.functions import rules, scalars
 from strandline.operators import graph, metrics, ranking, search, sessions
 from strandline.sources import jsonl
 from strandline.streaming.coactivation import fold_stream
 
 
-def test_rrf_by_hand(spark):
-    lists = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3), (2, "y", 1), (2, "x", 2), (2, "w", 3)], "tier int, key string, rank int")
-    got = {r.key: r.rrf for r in ranking.rrf(lists).collect()}
-    assert got["x"] == got["y"] == pytest.approx(1 / 61 + 1 / 62)
-    assert got["z"] == got["w"] == pytest.approx(1 / 63)
-    assert {r.key: r.rrf for r in ranking.rrf(lists, k=0).collect()} == got
+def test_rrf_with_ties_and_missing_lists(spark):
+    rows = [(3, "oak", 2), (3, "elm", 2), (5, "oak", 7), (8, "fir", 1), (8, "oak", 1), (8, "ash", 40)]
+    lists = spark.createDataFrame(rows, "tier int, key string, rank int")
+    got = {r.key: r for r in ranking.rrf(lists, 10).collect()}
+    want = {k: sum(1 / (10 + rank) for _, key, rank in rows if key == k) for k in ("oak", "elm", "fir", "ash")}
+    assert {k: r.rrf for k, r in got.items()} == {k: pytest.approx(v) for k, v in want.items()}
+    assert (got["oak"].first_tier, got["oak"].first_rank, got["ash"].first_tier) == (3, 2, 8)
+    assert ranking.rrf(lists, -4).filter("key = 'fir'").first().rrf == pytest.approx(1 / 61)
     assert ranking.rrf(lists.filter("false")).count() == 0
 
 
-def test_fusion_by_hand(spark):
-    rows = spark.createDataFrame([("a", 0.02, 0.1), ("b", 0.01, 1.0), ("c", 0.01, None)], "key string, rrf double, rerank double")
-    norm = ranking.max_normalised(rows.withColumn("t", F.lit(1)), "rrf", "n", "t")
-    got = {r.key: r.s for r in norm.select("key", ranking.fused("n", "rerank", 0.5).alias("s")).collect()}
-    assert got == {"a": pytest.approx(0.55), "b": pytest.approx(0.75), "c": pytest.approx(0.5)}
+def test_three_channels_by_hand(spark):
+    rows = spark.createDataFrame([("p", 0.4, 3.0, 0.9), ("q", 0.1, 6.0, None), ("r", 0.8, None, 0.3), ("s", 0.2, None, None)], "key string, a double, b double, c double")
+    tops = (F.lit(0.8), F.lit(6.0), F.lit(0.0))
+    got = {r.key: r.s for r in rows.select("key", ranking.fused(F.col("a"), F.col("b"), F.col("c"), tops, 0.25, 0.25).alias("s")).collect()}
+    assert got == {"p": pytest.approx(0.25 + 0.125 + 0.225), "q": pytest.approx(0.0625 + 0.25), "r": pytest.approx(1 + 0.075), "s": pytest.approx(0.25)}
 
 
 def test_bm25_counts_repeated_terms_and_survives_nulls(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "doc_id long, text string")
-    once, twice = ({r.key: r.score for r in search.bm25(docs, terms).collect()} for terms in (["a"], ["a", "a"]))
-    assert set(once) == {1} and twice[1] == pytest.approx(2 * once[1])
+    asked = spark.createDataFrame([(7, "a"), (8, "a"), (8, "a"), (9, "zzz")], "query long, term string")
+    got = {(r.query, r.key): r.score for r in search.bm25(docs, asked).collect()}
+    assert set(got) == {(7, 1), (8, 1)} and got[8, 1] == pytest.approx(2 * got[7, 1])
 
 
-def test_association_weight_and_uuid5(spark):
-    ns = "8e3a4c2d-1b5f-4d7a-9c8e-0f1a2b3c4d5e"
-    row = spark.range(1).select(scalars.association_weight(F.lit(1)).alias("w"), scalars.uuid5(ns, F.lit("uncategorized")).alias("u")).first()
+def test_nearest_against_every_vector(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(200)] + [(300, None), (301, []), (302, [0.0] * 5), (303, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 50 = 0 AND vec_id < 200").selectExpr("vec_id AS query", "embedding AS vec")
+
+    def cos(x, y):
+        return sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+
+    want = {(q, k, n) for q, v in rows[:200:50] for n, (_, k) in enumerate(sorted((-cos(v, w), k) for k, w in rows[:200])[:7], 1)}
+    for block in (2048, 2):
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert {(r.query, r.key, r["rank"]) for r in search.nearest(vectors, queries, 7).collect()} == want
+
+
+def test_uuid5(spark):
+    row = spark.range(1).select(scalars.association_weight(F.lit(1)).alias("w"), scalars.uuid5(str(uuid.NAMESPACE_URL), F.lit("a name")).alias("u")).first()
     assert row.w == pytest.approx(1 - math.exp(-0.2))
-    assert row.u == str(uuid.uuid5(uuid.UUID(ns), "uncategorized"))
+    assert row.u == str(uuid.uuid5(uuid.NAMESPACE_URL, "a name"))
+
+
+def test_truncation_keeps_characters_whole(spark):
+    texts = ["", "plain", "naïve café", "日本語のテキスト", "a😀b😀c", None]
+    for most in range(0, 14):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.truncated(F.col("t"), most).alias("cut")).collect()
+        for r in rows:
+            assert r.cut == (None if r.t is None else r.t.encode()[:most].decode(errors="ignore"))
+
+
+def test_websearch_alternatives():
+    assert rules.websearch('red "big dog" -cat OR -"blue sky" x-y') == [(["red", "big dog"], ["cat"]), (["x y"], ["blue sky"])]
+    assert rules.websearch(" OR ") == []
 
 
 def test_hold_out_folds_the_whole_digest(spark):
@@ -56,16 +88,35 @@ def test_segments_by_hand(spark):
     assert [r["count"] for r in got] == [2, 2, 1]
 
 
-def test_settle_falls_off_along_a_chain(spark):
-    edges = graph.symmetric(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double"))
-    got = {r.node: r.activation for r in graph.settle(edges, spark.createDataFrame([("a", 1.0)], "node string, mass double"), 0.5, 6).collect()}
-    assert got["a"] > got["b"] > got["c"] > 0
+def test_settle_stops_when_it_rests(spark):
+    edges = spark.createDataFrame([("k", "m", 3.0), ("m", "n", 0.5), ("n", "o", 9.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([(1, "k", 1.0), (2, "alone", 1.0)], "query long, node string, mass double")
+    found = graph.neighbourhood(edges, seeds, hops=2, cap=10)
+    weights = {(r.src, r.dst): r.weight for r in found.collect()}
+    # k-m is reached from both ends, m-n from one; o lies too far
+    assert weights == {("k", "m"): pytest.approx(1.0), ("m", "k"): pytest.approx(6 / 6.5), ("m", "n"): pytest.approx(0.5 / 6.5), ("n", "m"): pytest.approx(0.5)}
+    got = {(r["query"], r.node): r.activation for r in graph.settle(found, seeds, rounds=200).collect()}
+    k = got[1, "k"]
+    assert k == pytest.approx(0.3 + 0.7 * got[1, "m"] * 6 / 6.5, abs=1e-5) and got[1, "n"] == pytest.approx(0.7 * got[1, "m"] * 0.5 / 6.5, abs=1e-5)
+    assert got[2, "alone"] == pytest.approx(0.3, abs=1e-5)
+    assert {r.node for r in graph.expansion(graph.settle(found, seeds), seeds, 1).collect()} == {"m"}
+    assert {r.dst for r in graph.neighbourhood(edges, seeds, hops=3, cap=2).collect()} == {"k", "m"}
 
 
 def test_entropy_and_auc(spark):
     rows = spark.createDataFrame([(i % 4, i, int(i >= 4)) for i in range(8)], "b int, s int, y int")
     assert metrics.entropy(rows, "b").first().entropy == pytest.approx(2)
     assert metrics.auc(rows, "s", "y").first().auc == 1.0
+    many = spark.range(3000).selectExpr("(id * 7919) % 1000 / 3.0 AS s", "cast(id % 3 = 0 as int) AS y")
+    pos, neg = ([r.s for r in many.filter(f"y = {y}").collect()] for y in (1, 0))
+    wins = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+    assert metrics.auc(many, "s", "y").first().auc == pytest.approx(wins / len(pos) / len(neg))
+
+
+def test_segments_keep_columns_of_other_names(spark):
+    rows = spark.range(4).selectExpr("0 AS u", "id", "timestamp_seconds(id * 10000) AS ts", "1 AS _new", "2 AS _n")
+    assert sessions.segments(rows, "u", "ts", "id", "1 HOUR").columns == ["u", "id", "ts", "_new", "_n", "segment"]
+    assert sessions.latest(rows, ["u"], F.desc("id")).columns == rows.columns
 
 
 def test_log_reader(spark, tmp_path):
