@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import rules, scalars
-from strandline.operators import graph, metrics, ranking, search, sessions
+from strandline.operators import graph, memory, metrics, ranking, search, sessions
 from strandline.sources import jsonl
 from strandline.streaming.coactivation import fold_stream
 
@@ -133,3 +133,33 @@ def test_fold_stream_counts_once(spark, tmp_path):
     for _ in range(2):
         fold_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert {(r.src, r.n) for r in spark.read.parquet(f"{tmp_path}/out/0").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_budgets_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, c, i, rng.randrange(1, 40)) for i in range(90) for k, c in [(rng.randrange(3), rng.choice("xyz"))]] + [(0, "x", 900, None)]
+    items = spark.createDataFrame(rows, "k int, c string, i int, cost long")
+    greedy, turns = set(), set()
+    for k in range(3):
+        own, left = sorted((r for r in rows if r[0] == k), key=lambda r: r[2]), 100
+        for r in own:
+            if r[3] is not None and r[3] <= left:
+                left -= r[3]
+                greedy.add(r[2])
+        lists = {c: [r for r in own if r[1] == c] for c in "xyz"}
+        order, left = sorted((c for c in lists if lists[c]), key=lambda c: lists[c][0][2]), 100
+        for n in range(max(map(len, lists.values()))):
+            for c in order:
+                if n < len(lists[c]) and lists[c][n][3] is not None and lists[c][n][3] <= left:
+                    left -= lists[c][n][3]
+                    turns.add(lists[c][n][2])
+    assert {r.i for r in memory.within_budget(items, "k", 100, ["i"]).collect()} == greedy
+    assert {r.i for r in memory.round_robin(items, "k", "c", 100, ["i"]).collect()} == turns
+
+
+def test_representatives_are_central_and_unlike(spark):
+    rows = [(1, 1, [1.0, 0.1]), (1, 2, [1.0, 0.12]), (1, 3, [0.2, 1.0]), (1, 4, None), (2, 5, [3.0, 0.0])]
+    got = memory.most_diverse(spark.createDataFrame(rows, "label int, vec_id int, embedding array<double>"), "label", 2, 2).collect()
+    assert {(r.label, r.vec_id, r.place) for r in got} == {(1, 2, 1), (1, 3, 2), (2, 5, 1)}

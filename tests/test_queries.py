@@ -26,7 +26,7 @@ def key(row):
     return tuple("nan" if isinstance(v, float) and math.isnan(v) else repr(v) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
