@@ -94,3 +94,51 @@ def matches(words: Column, query: str) -> Column:
 def quoted(query: Column) -> Column:
     """A full-text query in which each word is a quoted string."""
     return F.array_join(F.transform(F.filter(F.split(query, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " ")
+
+
+#: Names without an ending that are files all the same (fixed values), and how many parts of a path make a module.
+FILE_LIKE, DEPTH = ["makefile", "dockerfile", "rakefile"], 3
+
+
+def module(path: Column) -> Column:
+    """The folder of a path, ``DEPTH`` parts deep at most; ``.`` for a file at the top and for no path."""
+    parts = F.split(F.trim(F.regexp_replace(F.coalesce(path, F.lit("")), r"^/*(\./)?", "")), "/")
+    leaf, n = F.element_at(parts, -1), F.size(parts)
+    is_file = F.contains(leaf, F.lit(".")) | F.lower(leaf).isin(FILE_LIKE)
+    deep = F.when((n > DEPTH) | ((n == DEPTH) & ~is_file), DEPTH).otherwise(n - 1)
+    return F.when(n == 1, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(deep, F.lit(1))), "/"))
+
+
+_NAME = r"""["'(]*\p{Lu}(?:\S*[\p{L}&&[^\p{Lu}]]\S*|(?=[.,;:!?)]*(?: |$)))[.,;:!?)]*"""
+#: What is an entity wherever it stands: (pattern, group).
+MARKED = [('"([^"]+)"', 1), ("`([^`]+)`", 1), (r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)+\b", 0), (r"\b[a-z][a-z0-9]*[_\-][a-z0-9_\-]+\b", 0), (r"@[A-Za-z0-9_\-]+", 0)]
+
+
+def names(text: Column) -> Column:
+    """Runs of words that begin with a capital and aren't all capitals; a run of one word at the start of a sentence is none. A title goes into the run."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    runs = F.regexp_extract_all(flat, F.lit(rf"(?:^|\S ){_NAME}(?: {_NAME})*(?!\S)"), F.lit(0))
+    starts = lambda r: r.rlike(rf"^(?:[.!?] )?{_NAME}$")
+    return F.transform(F.filter(runs, lambda r: ~starts(r)), lambda r: F.regexp_replace(r, rf"^\S (?={_NAME})", ""))
+
+
+def entities(text: Column) -> Column:
+    """Quoted phrases, compound identifiers, mentions and names in a text: lower case, each once, sorted."""
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(g)) for p, g in MARKED]
+    norm = F.transform(F.concat(*found, names(text)), lambda e: F.lower(F.trim(e)))
+    return F.array_sort(F.array_distinct(F.filter(norm, lambda e: e != "")))
+
+
+def facts(raw: Column) -> Column:
+    """The ``facts`` of a JSON answer as bullets; what has no list of strings there stays, trimmed."""
+    said = F.from_json(raw, "struct<facts:array<string>>")["facts"]
+    kinds = F.from_json(raw, "struct<facts:variant>")["facts"]
+    plain = F.schema_of_variant(kinds).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    return F.when(said.isNotNull() & plain & F.forall(said, lambda f: f.isNotNull()), F.array_join(F.transform(said, lambda f: F.concat(F.lit("- "), f)), "\n")).otherwise(F.trim(raw))
+
+
+def until_hour(now: Column, hour: int) -> Column:
+    """Seconds to the next full ``hour``, which is held between 0 and 23; at that hour itself, a day."""
+    at = F.unix_timestamp(F.date_trunc("day", now)) + 3600 * min(max(hour, 0), 23)
+    left = at - F.unix_timestamp(now)
+    return F.when(left > 0, left).otherwise(left + 86400)

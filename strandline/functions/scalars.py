@@ -89,3 +89,15 @@ def tags_of(text: Column) -> tuple[Column, Column]:
     inner = F.regexp_extract(text, r"^\[([^\]]*)\]\s*", 1)
     tags = F.filter(F.transform(F.split(inner, ","), lambda t: F.lower(F.trim(t))), lambda t: t != "")
     return tags, F.regexp_replace(text, r"^\[[^\]]*\]\s*", "")
+
+
+def linear(parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
+    """Weighted sum of the scores of single rules; without weights only that of association counts."""
+    weights = {"hebbian": 1.0} if weights is None else weights
+    return sum((score * weights.get(name, 0.0) for name, score in parts.items()), F.lit(0.0))
+
+
+def direction(m_given_x: Column, m: Column, x_given_m: Column, x: Column) -> Column:
+    """PMI(m|x) - PMI(x|m), each by mean log-probability of a token; texts without tokens have mean 0."""
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, p: s + p.cast("double")) / F.size(a)).otherwise(0.0)
+    return (mean(m_given_x) - mean(m)) - (mean(x_given_m) - mean(x))
