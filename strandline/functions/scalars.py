@@ -70,9 +70,10 @@ def composite(cos: Column, fts: Column, activation: Column, hebbian: Column, con
 MODES = {"semantic": (1.0, 0.0), "keyword": (0.0, 1.0), "hybrid": (0.7, 0.3)}
 
 
-def uuid5(namespace: str, name: Column) -> Column:
+def uuid5(namespace: str | Column, name: Column) -> Column:
     """Version-5 UUID of a name, by SHA-1 of the namespace's bytes and the name."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    space = F.lit(namespace) if isinstance(namespace, str) else namespace
+    h = F.sha1(F.concat(F.unhex(F.translate(space, "-", "")), name.cast("binary")))
     variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
     part = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))

@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written as Parquet below ``spark.checkpoint.dir`` and read again.
-
-    On one machine without that setting a temporary folder is made and set; on a cluster it is an error.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. On one machine without that setting a temporary folder is made and set; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to a ``scratch`` path and read again."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
