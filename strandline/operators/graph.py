@@ -49,6 +49,8 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, cap: int =
     Nodes are taken hop by hop, heaviest edge first (ties: the smaller node), up to ``cap`` for each query. An edge's weight counts once
     for each hop that reaches it from a node of the hop before; both directions are added.
     """
+    if hops < 0 or cap < 1:
+        raise ValueError("hops is 0 or more, cap 1 or more")
     edges = cut(edges.select("src", "dst", "weight"))
     way = both_ways(edges).filter("node <> other")
     nodes = seeds.select("query", "node").distinct().withColumn("hop", F.lit(0))
@@ -76,6 +78,8 @@ def settle(graph: DataFrame, seeds: DataFrame, damping: float = 0.7, eps: float
     import numpy as np
     import pandas as pd
 
+    if not 0 <= damping < 1 or eps <= 0 or rounds < 1:
+        raise ValueError("damping is 0 or more and under 1, eps above 0, rounds 1 or more")
     kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
 
     def one(key: tuple, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
