@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, reshard, warc
+from . import chat, fim, langid, reshard, secret_scan, vector_codes, warc
 from .common import scratch, table
 from .decontaminate import contaminated, digest
 from .exact_dedup import exact_classes
@@ -143,3 +143,56 @@ def op8(spark, sf_dir):
     edit = lambda a, b, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(s).alias("text"))
     edits = F.array(edit(F.lit(0), F.lit(1), ""), edit(F.floor(n / 4), F.floor(n / 4), " as it was said"), edit(F.floor(n / 2), F.floor(n / 2) + 5, "X"))
     return count_edits(table(spark, sf_dir, "documents").withColumn("edits", edits), edits="edits")
+
+
+_WORDS_11 = r"CAST(len(regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, {_WORDS_11.format("t")} AS n_words,
+       CASE WHEN form <> 'plain' THEN {_WORDS_11.format("substring(t, 1, b)")} - {_WORDS_11.format("pre")} END AS middle_words,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@_op("op11_fill_in_middle", OP11_SQL)
+def op11(spark, sf_dir):
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Assignments and means, a pair of tables a round; parts and positions come from the length of the vectors."""
+    out = """
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+              WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT r, (i - 1) // (d // 8) AS part, (i - 1) % (d // 8) AS pos, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS c
+      FROM (SELECT r, embedding, len(embedding) AS d, unnest(generate_series(1, len(embedding))) AS i FROM kept)),
+b0 AS (SELECT part, r - 1 AS entry, pos, c FROM v WHERE r <= 16)"""
+    assign = """,
+a{1} AS (SELECT r, part, min(e).entry AS entry, min(e).d AS d FROM (SELECT r, part, {{'d': CAST(sum((v.c - b.c) * (v.c - b.c)) AS BIGINT), 'entry': entry}} AS e FROM v JOIN b{0} b USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+    mean = """,
+b{1} AS (SELECT part, entry, pos, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN (
+         SELECT part, entry, pos, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM v JOIN a{1} USING (r, part) GROUP BY part, entry, pos) m USING (part, entry, pos))"""
+    for n in range(rounds):
+        out += assign.format(n, n + 1) + mean.format(n, n + 1)
+    out += assign.format(rounds, rounds + 1)
+    return f"""{out},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds + 1} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+
+@_op("op12_vector_codes", _op12_sql())
+def op12(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+@_op("op13_secret_scan")
+def op13(spark, sf_dir):
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
