@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 
+from .sessions import free
+
 
 def apply_clusters(known: DataFrame, clusters: DataFrame, by: str = "space") -> DataFrame:
     """``by, id, members, confidence, written``: the memories (``by, id, members, confidence``) of each space after its clusters (``by, members``).
@@ -53,9 +55,10 @@ def enriched(known: DataFrame, found: DataFrame, key: str, keep: list[str], repl
 
 def with_digests(known: DataFrame, digests: DataFrame, by: str) -> DataFrame:
     """Memories after new digests (level 2, active) of some spaces: the digests they had are archived."""
-    fresh = digests.select(by).distinct().withColumn("fresh", F.lit(True))
-    state = F.when((F.col("level") == 2) & (F.col("state") == "active") & F.col("fresh"), "archived").otherwise(F.col("state"))
-    return known.join(fresh, by, "left").withColumn("state", state).drop("fresh").unionByName(digests.select(by, "id", F.lit(2).alias("level"), F.lit("active").alias("state")))
+    new = free(known, "_fresh")
+    fresh = digests.select(by).distinct().withColumn(new, F.lit(True))
+    state = F.when((F.col("level") == 2) & (F.col("state") == "active") & F.col(new), "archived").otherwise(F.col("state"))
+    return known.join(fresh, by, "left").withColumn("state", state).drop(new).unionByName(digests.select(by, "id", F.lit(2).alias("level"), F.lit("active").alias("state")))
 
 
 def contradicted(memories: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,13 +66,14 @@ def contradicted(memories: DataFrame, edges: DataFrame, pairs: DataFrame) -> tup
 
     The older one's confidence is updated with evidence 0.1, edges between the two keep a tenth, and an edge ``contradicts`` of weight 1 is added.
     """
-    hit = pairs.select(F.col("old").alias("id")).distinct().withColumn("hit", F.lit(True))
-    confidence = F.when(F.col("hit"), scalars.bayes(F.col("confidence"), F.lit(0.1))).otherwise(F.col("confidence"))
+    named, between = free(memories, "_hit"), free(edges, "_between")
+    hit = pairs.select(F.col("old").alias("id")).distinct().withColumn(named, F.lit(True))
+    confidence = F.when(F.col(named), scalars.bayes(F.col("confidence"), F.lit(0.1))).otherwise(F.col("confidence"))
     both = pairs.select(F.col("new").alias("src"), F.col("old").alias("dst"))
-    between = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("between", F.lit(True))
-    fainter = edges.join(between, ["src", "dst"], "left").withColumn("weight", F.when(F.col("between"), F.col("weight") * 0.1).otherwise(F.col("weight"))).drop("between")
+    ends = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn(between, F.lit(True))
+    fainter = edges.join(ends, ["src", "dst"], "left").withColumn("weight", F.when(F.col(between), F.col("weight") * 0.1).otherwise(F.col("weight"))).drop(between)
     added = both.distinct().select("src", "dst", F.lit("contradicts").alias("kind"), F.lit(1.0).alias("weight"))
-    return memories.join(hit, "id", "left").withColumn("confidence", confidence).drop("hit"), fainter.unionByName(added)
+    return memories.join(hit, "id", "left").withColumn("confidence", confidence).drop(named), fainter.unionByName(added)
 
 
 def jaccard_graph(items: DataFrame, by: str, item: str, words: str, least: float = 0.1) -> DataFrame:
@@ -86,15 +90,17 @@ def jaccard_graph(items: DataFrame, by: str, item: str, words: str, least: float
 def first_tokens(turns: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
     """Turns of each group from its start, up to ``most`` tokens of four characters; the turn that crosses the limit is cut."""
     room = 4 * most
+    seen = free(turns, "_before")
     before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = turns.withColumn("before", before).filter(F.col("before") < room)
-    return cut.withColumn(text, F.left(text, F.lit(room) - F.col("before"))).drop("before")
+    cut = turns.withColumn(seen, before).filter(F.col(seen) < room)
+    return cut.withColumn(text, F.left(text, F.lit(room) - F.col(seen))).drop(seen)
 
 
 def with_neighbours(kept: DataFrame, turns: DataFrame, by: str, order: str, budget: int, cost: str = "cost") -> DataFrame:
     """Kept turns and, in order, the turns right before and after them, up to the first that what is left of the budget can't hold."""
     near = kept.select(by, F.explode(F.array(F.col(order) - 1, F.col(order) + 1)).alias(order)).distinct()
     rest = turns.join(near, [by, order], "left_semi").join(kept.select(by, order), [by, order], "left_anti")
-    left = kept.groupBy(by).agg((F.lit(budget) - F.sum(cost)).alias("left"))
+    room, upto = free(turns, "_room"), free(turns, "_upto")
+    left = kept.groupBy(by).agg((F.lit(budget) - F.sum(cost)).alias(room))
     run = F.sum(cost).over(Window.partitionBy(by).orderBy(order))
-    return kept.unionByName(rest.join(left, by).withColumn("run", run).filter(F.col("run") <= F.col("left")).drop("run", "left"))
+    return kept.unionByName(rest.join(left, by).withColumn(upto, run).filter(F.col(upto) <= F.col(room)).drop(upto, room))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import free
+
 #: Weights of a turn by role (fixed values).
 ROLES = {"user": 1.0, "assistant": 0.5, "tool_result": 0.1, "system": 0.0}
 
@@ -43,11 +45,12 @@ def within_budget(items: DataFrame, by: str, budget: int, order: list[str], cost
 
 def round_robin(items: DataFrame, by: str, community: str, budget: int, order: list[str], cost: str = "cost") -> DataFrame:
     """Items of each key, one of each community in turn (communities by their best item), as long as they fit."""
+    nth, place = free(items, "_nth"), free(items, "_place")
     own = Window.partitionBy(by, community).orderBy(*order)
-    turn = items.withColumn("turn", F.row_number().over(own))
+    turn = items.withColumn(nth, F.row_number().over(own))
     best = F.min(F.struct(*order)).over(Window.partitionBy(by, community))
-    placed = turn.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("turn", best)))
-    return within_budget(placed, by, budget, ["place"], cost).drop("turn", "place")
+    placed = turn.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(nth, best)))
+    return within_budget(placed, by, budget, [place], cost).drop(nth, place)
 
 
 def rates(rows: DataFrame, rank: str, *by: str) -> DataFrame:

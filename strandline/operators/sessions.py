@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _free(rows: DataFrame, name: str) -> str:
+def free(rows: DataFrame, name: str) -> str:
     """The name, or one made from it that the table doesn't have."""
     while name.lower() in {c.lower() for c in rows.columns}:
         name = f"_{name}"
@@ -15,14 +15,14 @@ def _free(rows: DataFrame, name: str) -> str:
 
 def segments(events: DataFrame, by: str, ts: str, key: str, gap: str) -> DataFrame:
     """Adds ``segment`` (from 0 within ``by``; a column of that name is replaced): a new one begins where more than ``gap`` lies between events."""
-    new, order = _free(events, "_new"), Window.partitionBy(by).orderBy(ts, key)
+    new, order = free(events, "_new"), Window.partitionBy(by).orderBy(ts, key)
     far = F.coalesce(F.col(ts) - F.lag(ts).over(order) > F.expr(f"INTERVAL {gap}"), F.lit(False))
     return events.withColumn(new, far.cast("int")).withColumn("segment", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop(new)
 
 
 def latest(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
-    n = _free(rows, "_n")
+    n = free(rows, "_n")
     return rows.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(n) == 1).drop(n)
 
 
@@ -34,14 +34,14 @@ def merged(rows: DataFrame, by: str, order: list[str], newest: dict[str, str], o
 
 def upsert(known: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Incoming rows with ``inserted`` (key not known before), and known rows that they don't replace with null."""
-    was = _free(incoming, "_was")
+    was = free(incoming, "_was")
     flagged = incoming.join(known.select(F.col(key), F.lit(True).alias(was)), key, "left").withColumn("inserted", F.col(was).isNull()).drop(was)
     return known.join(incoming.select(key), key, "left_anti").withColumn("inserted", F.lit(None).cast("boolean")).unionByName(flagged)
 
 
 def clean_prefix(rows: DataFrame, by: str, order: str, broken: Column) -> DataFrame:
     """Rows of each key before the first for which ``broken`` holds."""
-    b = _free(rows, "_b")
+    b = free(rows, "_b")
     seen = F.max(broken.cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(b, seen).filter(F.col(b) == 0).drop(b)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.functions.scalars import cosine, tokens
-from strandline.operators import graph, ranking, search
+from strandline.operators import graph, ranking, search, vector_index
+from strandline.operators.lineage import scratch
 
 from .registry import query, table
 
@@ -113,8 +114,8 @@ def centroid(spark, sf_dir):
 def cosine_all(spark, sf_dir):
     """Every fiftieth vector against all; a vector of another length, or none, would score 0."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return v.join(q).select("query", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return search.all_scores(v, q).select("query", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 _PAIRS = "SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_partkey <> b.l_partkey"
@@ -263,8 +264,27 @@ def best_of_grain(spark, sf_dir):
     return ranking.best_per_key(hits, "query", key="grain", tie="key")
 
 
-@query("fn02_cosine_shorter", "SELECT vec_id, round(list_cosine_similarity(embedding[1:16]::DOUBLE[], q[1:16]), 6) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)")
+@query("fn02_cosine_shorter", f"SELECT query, vec_id, round(list_cosine_similarity(embedding[1:16]::DOUBLE[], q[1:16]), 6) AS score FROM embeddings, {_Q}")
 def cosine_shorter(spark, sf_dir):
+    """Vectors of different lengths by their common part: every fiftieth, cut to 16, against all."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id = 0").select(F.slice("embedding", 1, 16).alias("q"))
-    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(scalars.cosine_shorter(F.col("embedding"), F.col("q")), 6).alias("score"))  # one row
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.slice("embedding", 1, 16).alias("vec"))
+    return search.all_scores(v.select("vec_id", F.slice("embedding", 1, 16).alias("embedding")), q).select("query", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("top03_index_topk")
+def index_topk(spark, sf_dir):
+    """The fifty nearest of every fiftieth vector, from an index built over all of them; approximate."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch(spark, "index")
+    vector_index.build(vectors, path)
+    return vector_index.search(spark, path, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")), 50)
+
+
+@query("top03_index_recall", "SELECT count(*) AS queries, CAST(sum(least(50, (SELECT count(*) FROM embeddings))) AS BIGINT) AS hits, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark, sf_dir):
+    """Whether the index finds at least 0.95 of what exact search finds, over all queries."""
+    found, exact = index_topk(spark, sf_dir), _vector(spark, sf_dir)
+    hits = found.join(exact.select("query", "key"), ["query", "key"], "left_semi").count()
+    total = found.groupBy("query").agg(F.count("*").alias("n")).agg(F.count("*").alias("queries"), F.sum("n").alias("hits"))
+    want = exact.agg(F.count("*").alias("want"))
+    return total.crossJoin(F.broadcast(want)).select("queries", "hits", (F.lit(hits) >= 0.95 * F.col("want")).alias("reached"))  # one row each

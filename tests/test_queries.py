@@ -26,6 +26,25 @@ def key(row):
     return tuple("nan" if isinstance(v, float) and math.isnan(v) else repr(v) for v in row)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_without_sql_runs(spark, name):
+    df = QUERIES[name](spark, DIR)
+    assert len(df.columns) == len(set(df.columns)) and df.count() > 0
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("empty"))
+    for t in TABLES:
+        spark.read.parquet(f"{DIR}/{t}.parquet").filter("false").write.parquet(f"{path}/{t}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.split("_")[0] in {"top03", "top05", "fn01", "fn02", "win10", "ml18", "ml21", "ml22", "recall", "ml03", "fn09", "ml09", "fn05", "fn07", "st05", "st02", "st09", "top04", "jn08"}))
+def test_query_on_empty_tables(spark, empty_dir, name):
+    QUERIES[name](spark, empty_dir).collect()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, DIR)
