@@ -78,11 +78,11 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", fields: dict[str, str
     about = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(sum(F.size(f"w{i}") for i in range(len(fields)))), F.lit(0.0)).alias("avg_length"))
     n, mean = about.head()
     folders = min(MOST_FOLDERS, 1 + int(n * mean) // FOLDER_WORDS)
-    about = spark.createDataFrame([(n, mean, folders)], "n long, avg_length double, folders int").coalesce(1)
+    about = spark.createDataFrame([(n, mean, folders, kind.simpleString())], "n long, avg_length double, folders int, kind string").coalesce(1)
     about.write.parquet(f"{path}/about")
     files = F.pmod(F.xxhash64("key"), F.lit(min(SALT, folders)))
     post.withColumn("folder", _folder(folders)).repartition(folders * min(SALT, folders), "folder", files).sortWithinPartitions("folder", "term", "key").write.partitionBy("folder").parquet(f"{path}/postings")
-    about = spark.read.parquet(f"{path}/about").drop("folders")  # one row
+    about = spark.read.parquet(f"{path}/about").drop("folders", "kind")  # one row
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     stored(spark, path).select("term", "tf", "length").crossJoin(F.broadcast(about)).groupBy("term").agg(F.count("*").alias("df"), F.max(part).alias("bound")).write.parquet(f"{path}/terms")
 
@@ -92,19 +92,21 @@ def _folder(folders: int) -> Column:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings").drop("folder")
+    """All postings, with the ``folder`` they lie in."""
+    kind = spark.read.parquet(f"{path}/about").head()["kind"]
+    return spark.read.schema(f"term string, key {kind}, tf int, length int, positions array<int>, weights array<double>, folder int").parquet(f"{path}/postings")
 
 
 def of_terms(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """Postings of the given terms (``term``), from their folders only: the folders to read are found first, a number that is bounded."""
     folders = spark.read.parquet(f"{path}/about").head()["folders"]
     read = [r["folder"] for r in terms.select(_folder(folders).alias("folder")).distinct().collect()]
-    return spark.read.parquet(f"{path}/postings").filter(F.col("folder").isin(read)).drop("folder").join(terms.select("term").distinct(), "term", "left_semi")
+    return stored(spark, path).filter(F.col("folder").isin(read)).drop("folder").join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def _asked(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """``query, term, times, df, idf, bound`` of the queries' terms that occur."""
-    about = spark.read.parquet(f"{path}/about").drop("folders")  # one row
+    about = spark.read.parquet(f"{path}/about").drop("folders", "kind")  # one row
     asked = queries.groupBy("query", "term").agg(F.count("*").alias("times")).join(spark.read.parquet(f"{path}/terms"), "term").crossJoin(F.broadcast(about))
     asked = asked.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("times"))
     return cut(asked.withColumn("bound", F.col("idf") * F.col("bound")))
