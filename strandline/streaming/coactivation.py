@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators.graph import fold
 
+from .store import Store
 
-def fold_stream(pairs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds a stream of ``src, dst`` into ``path/<batch>``, one whole state a batch.
 
-    A batch that is run again writes the same folder from the same predecessor, so
-    a restart changes nothing.
-    """
+def edges(spark: SparkSession, path: str, node: str = "bigint", buckets: int = 64) -> Store:
+    """The store of folded pairs."""
+    return Store(spark, path, f"src {node}, dst {node}, n bigint, weight double", ["src", "dst"], buckets)
+
+
+def fold_stream(pairs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Folds a stream of ``src, dst`` into the store of :func:`edges`: a batch rewrites only the buckets its pairs fall in, and counts once, however often it is run."""
+    store = edges(pairs.sparkSession, path, pairs.schema["src"].dataType.simpleString(), buckets)
 
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        known = spark.read.parquet(f"{path}/{n - 1}") if n else None
-        fold(df, known).write.mode("overwrite").parquet(f"{path}/{n}")
+        store.update(n, df, lambda known, new: fold(new, known))
+        store.vacuum()
 
     return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
