@@ -91,6 +91,8 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
             break
     totals = known.groupBy("lang", "order").agg(F.sum("n").alias("total"))
     rows = known.filter(F.col("n") >= least).join(F.broadcast(totals), ["lang", "order"]).select("lang", "order", "gram", F.log(F.col("n") / F.col("total")).alias("log")).toArrow().to_pylist()  # ENTRIES at most
+    if not rows:  # labelled rows without a word teach as little as none
+        return {"langs": [], "tables": {}}
     at = {x: i for i, x in enumerate(sorted(langs))}
     tables: dict[int, dict[str, dict[int, float]]] = {}
     for r in rows:

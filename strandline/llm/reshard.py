@@ -13,7 +13,8 @@ they are gapless from 0 without another sort. :func:`rewrite` writes only the sh
 
 Null texts have no bytes, null ids are ids like others, repeated rows are rows of their own; rows with equal texts move like others, each for itself.
 Ties of size go by a hash. Very long texts are rows like others. An empty table gives empty
-shards. Old shard numbers must be at least 0; those past the new count are emptied. Other columns are ignored, whatever their names.
+shards. Rows whose old shard is null or negative lie in none (given back as null) and are placed like those of a shard
+past the new count, which is emptied. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHARDS, PARTS = 24, 64
+#: Old shard of rows that lie in none.
+NOWHERE = (1 << 31) - 1
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -116,7 +119,7 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int, saved: dict[int,
 def _solved(docs: DataFrame, old_shard: str, doc_id: str, text: str, shards: int) -> tuple[DataFrame, list[tuple]]:
     """The rows as ``doc_id, text, old_shard, shard, slot``, and the moves."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(old_shard).cast("int").alias("old_shard"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.when(F.col(old_shard) >= 0, F.col(old_shard)), F.lit(NOWHERE)).cast("int").alias("old_shard"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     rows = rows.withColumns({"size": size, "kind": F.floor(F.log2(size)).cast("int"), "part": F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).cast("int")})
     by = ["old_shard", "kind", "size", "part"]
@@ -136,7 +139,7 @@ def _solved(docs: DataFrame, old_shard: str, doc_id: str, text: str, shards: int
     own = Window.partitionBy(*by).orderBy("doc_id", F.xxhash64("text"))
     ranked = rows.withColumn("nth", F.row_number().over(own) - 1).join(base, by).withColumn("rank", F.col("base") + F.col("nth"))
     out = ranked.join(F.broadcast(dealt) if len(moves) <= 100_000 else dealt, ["old_shard", "kind"]).filter("rank >= lo AND rank < hi")
-    return out.select("doc_id", "text", "old_shard", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot")), moves
+    return out.select("doc_id", "text", F.nullif("old_shard", F.lit(NOWHERE)).alias("old_shard"), "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot")), moves
 
 
 def assign(docs: DataFrame, old_shard: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:

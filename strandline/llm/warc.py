@@ -124,11 +124,11 @@ def records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes
         yield fields, bytes(block)
 
 
-def parse(fields: dict[str, str], block: bytes) -> tuple:
+def parse(fields: dict[str, str], block: bytes, ids=int) -> tuple:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload); a revisit's payload is null."""
     cut = block.index(b"\r\n\r\n")
     http = dict(line.split(": ", 1) for line in block[:cut].decode().split("\r\n")[1:])
-    ident = lambda s: int(s[10:-1]) if s and s != "<urn:page:>" else None
+    ident = lambda s: ids(s[10:-1]) if s and s != "<urn:page:>" else None
     digest, payload = base64.b32decode(fields["WARC-Payload-Digest"][5:]), None
     if fields["WARC-Type"] == "response":
         payload = block[cut + 4 :]
@@ -137,19 +137,22 @@ def parse(fields: dict[str, str], block: bytes) -> tuple:
     return ident(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], ident(fields.get("WARC-Refers-To")), int(http["Content-Length"]), digest.hex(), payload
 
 
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "page_id {0}, url string, record_type string, refers_to {0}, payload_bytes long, payload_digest string, payload binary"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path``."""
-    types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+def read(spark: SparkSession, path: str, ids: str = "long") -> DataFrame:
+    """Every record of the archives under ``path``, with page ids as ``long`` or, where they aren't whole numbers, ``string``; no archive gives no rows."""
+    if ids not in ("long", "string"):
+        raise ValueError("ids are long or string")
+    kind, of = (pa.int64(), int) if ids == "long" else (pa.string(), str)
+    types = pa.schema([("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", kind), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 out, held = [], 0
                 for fields, block in records(data.as_buffer(), name):
-                    out.append(parse(fields, block))
+                    out.append(parse(fields, block, of))
                     held += len(block)
                     if held > 1 << 22 or len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=types)
@@ -157,4 +160,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=types)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(rows, SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(rows, SCHEMA.format(ids))
