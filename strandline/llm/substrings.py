@@ -1,13 +1,15 @@
 """Fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-1. Seeds: of every ``window`` successive runs of ``k`` words, the one with the least hash, with its place.
+1. Seeds: of every ``window`` successive runs of ``k`` words, the one with the least hash, with its place; and of all runs of
+   ``SHORT`` words, those whose hash is a multiple of ``ONE_IN``, wherever they stand.
 2. A seed that several documents hold is linked, in each, to its first place in the document with the least id that holds it:
    one link an occurrence, never all pairs of a seed.
-3. Chaining: the links of two documents, in text order, are chained. A link adds ``k``, a gap costs ``GAP`` for each word of either
+3. Chaining: the links of two documents, in text order, are chained. A link adds ``K``, a gap costs ``GAP`` for each word of either
    side; the best chain that ends before a link on both sides is a prefix maximum in a Fenwick tree. Chains
    are taken best first, and no link is in two.
 4. Alignment: a chain is followed link by link (equal stretches word by word, unequal ones by a small edit table inside a
-   band), and extended outward while the score doesn't drop by more than ``DROP``. A passage has at least ``least`` words on both
+   band), and extended outward while the score doesn't drop by more than ``DROP``. It sees ``MARGIN`` words beyond its outer links; where
+   an extension comes to the end of these it is done again with ``WIDER`` times as many, until none does. A passage has at least ``least`` words on both
    sides, of which at least ``identity`` match in order. A chain that is none as a whole is cut at its gaps: every stretch of it
    that no longer one holds is a passage, less those that the others cover.
 
@@ -20,17 +22,19 @@ Result: ``doc_id, match_id, first, last, match_first, match_last, n_matched, ide
 documents have no row. ``match_id`` is the document with the least id that the passage was linked to, so that one with n copies has n - 1 rows.
 
 Passages of ``least`` equal words in a row are all found (of a longer one, up to k + window - 1 words at an end may be left out where other documents hold the rest). Fuzzy ones are found where some run of k + window - 1 words is unchanged (any such run
-holds a shared seed), and mostly where shorter ones are; a passage in which no k words in a row are unchanged has no seed and isn't found.
+holds a shared seed); otherwise each unchanged run of ``SHORT`` words is a seed with a chance of 1 in ``ONE_IN``, so that of n such runs all are missed
+with probability (1 - 1 / ONE_IN) ** n. A passage in which no ``SHORT`` words in a row are unchanged has no seed and isn't found.
 
-Ids are of any type: those that aren't whole numbers are hashed inside and given back at the end. Rows with null ids take part and have
-null in ``doc_id`` or ``match_id``; whole-number ids must lie under 2**62. Null and short texts have no passages. Ids should tell rows apart (of rows that share
-one, a passage may be missed). Repeats within a document don't count. Very long texts are read whole; an empty table gives an empty
+Ids are of any type that can be ordered. Rows with null ids take part and have null in ``doc_id`` or ``match_id``; they come after all others.
+Different texts under one id are documents of their own (so ``doc_id`` and ``match_id`` can be equal), ordered by their hash; rows with the
+same id and text are one. Null and short texts have no passages. Repeats within a document don't count. Very long texts are read whole; an empty table gives an empty
 one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +45,9 @@ from pyspark.sql.types import IntegralType
 from .common import cut, mix, shingle_hashes, slices, word_hashes
 
 K, WINDOW, LEAST, IDENTITY = 8, 16, 50, 0.8
-GAP, DROP, BAND, MARGIN = 0.1, 8, 48, 80
-#: Numbers from here on stand for rows without an id.
-NAMELESS = 1 << 62
+SHORT, ONE_IN = 4, 8
+GAP, DROP, BAND, MARGIN, WIDER = 0.1, 8, 48, 80, 8
+PASSAGE = ["doc_id", "match_id", "first", "last", "match_first", "match_last", "n_matched", "identity"]
 
 
 def minimizers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -64,11 +68,12 @@ def _seed_rows(k: int, window: int, least: int):
                 for r, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
                     if hi - lo < least:
                         continue
-                    grams = shingle_hashes(hashes[lo:hi], k)
-                    at = minimizers(grams, window)
-                    seeds.append(grams[at].view(np.int64))
-                    places.append(at.astype(np.int32))
-                    rows.append(np.full(len(at), r))
+                    grams, short = shingle_hashes(hashes[lo:hi], k), shingle_hashes(hashes[lo:hi], SHORT)
+                    at, some = minimizers(grams, window), np.flatnonzero(short % np.uint64(ONE_IN) == 0)
+                    # the lowest bit tells short seeds from others
+                    seeds += [(grams[at] & ~np.uint64(1)).view(np.int64), (short[some] | np.uint64(1)).view(np.int64)]
+                    places += [at.astype(np.int32), some.astype(np.int32)]
+                    rows.append(np.full(len(at) + len(some), r))
                 ids = batch.column("doc_id").take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds) if seeds else [], pa.int64()), ids, pa.array(np.concatenate(places) if places else [], pa.int32())], ["seed", "doc_id", "at"])
 
@@ -180,7 +185,7 @@ def _key_rows(k: int, window: int, least: int):
     return rows
 
 
-def _chain_rows(k: int, least: int):
+def _chain_rows():
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -192,7 +197,7 @@ def _chain_rows(k: int, least: int):
         for group in _runs(batches, ("doc_id", "head")):
             a, b = group.column("at").to_numpy(), group.column("head_at").to_numpy()
             doc, head = group.column("doc_id")[0].as_py(), group.column("head")[0].as_py()
-            for chain in chains(a, b, k):
+            for chain in chains(a, b, K):
                 # one link may be enough: extension decides
                 out.append((doc, head, a[chain], b[chain]))
             if len(out) >= 2000:
@@ -326,7 +331,16 @@ def stretches(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, k: int,
     return out
 
 
-def _align_rows(k: int, least: int, identity: float):
+def _runs_on(x: np.ndarray, y: np.ndarray, x_cut: bool, y_cut: bool) -> bool:
+    """Whether an extension along x and y ends only because the shorter of them was cut off."""
+    n = min(len(x), len(y))
+    if not (x_cut if len(x) < len(y) else y_cut if len(y) < len(x) else x_cut and y_cut):
+        return False
+    score = np.cumsum(np.where(x[:n] == y[:n], 1, -2))
+    return not (np.maximum.accumulate(np.maximum(score, 0)) - score > DROP).any()
+
+
+def _align_rows(k: int, least: int, identity: float, margin: int):
     def wide(packed: bytes) -> np.ndarray:
         out = np.zeros((len(packed) // 3, 4), np.uint8)
         out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
@@ -344,14 +358,20 @@ def _align_rows(k: int, least: int, identity: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            docs, heads, xs, ys, x0s, y0s = (batch.column(c).to_pylist() for c in ("doc_id", "head", "x", "y", "x0", "y0"))
+            docs, heads, xs, ys, x0s, y0s, chain = (batch.column(c).to_pylist() for c in ("doc_id", "head", "x", "y", "x0", "y0", "c"))
             (a, a_at), (b, b_at) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("a"), batch.column("b")))
             for r, (doc, head, x, y, x0, y0) in enumerate(zip(docs, heads, xs, ys, x0s, y0s, strict=True)):
-                for a0, a1, b0, b1, matched in found(a[a_at[r] : a_at[r + 1]] - x0, b[b_at[r] : b_at[r + 1]] - y0, wide(x), wide(y)):
-                    out.append((doc, head, a0 + x0, a1 + x0 - 1, b0 + y0, b1 + y0 - 1, matched, matched / max(a1 - a0, b1 - b0)))
-            cols = zip(*out, strict=True) if out else [()] * 8
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "match_id", "first", "last", "match_first", "match_last", "n_matched", "identity"])
+                at, to, x, y = a[a_at[r] : a_at[r + 1]] - x0, b[b_at[r] : b_at[r + 1]] - y0, wide(x), wide(y)
+                end, goal = int(at[-1]) + k, int(to[-1]) + k
+                after = _runs_on(x[end:], y[goal:], len(x) - end >= margin, len(y) - goal >= margin)
+                if after or _runs_on(x[: at[0]][::-1], y[: to[0]][::-1], x0 > 0, y0 > 0):
+                    out.append((doc, head, *[None] * 6, chain[r]))
+                    continue
+                for a0, a1, b0, b1, matched in found(at, to, x, y):
+                    out.append((doc, head, a0 + x0, a1 + x0 - 1, b0 + y0, b1 + y0 - 1, matched, matched / max(a1 - a0, b1 - b0), None))
+            cols = zip(*out, strict=True) if out else [()] * 9
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*PASSAGE, "c"])
 
     return rows
 
@@ -363,19 +383,31 @@ def _linked(keys: DataFrame) -> DataFrame:
     return keys.join(heads, "seed").filter("doc_id <> head").select("doc_id", "head", "at", "head_at")
 
 
-def _aligned(links: DataFrame, words: DataFrame, k: int, least: int, identity: float) -> DataFrame:
-    """The passages that links between documents lead to."""
-    chained = links.repartition("doc_id", "head").sortWithinPartitions("doc_id", "head", "at").mapInArrow(_chain_rows(k, least), "doc_id long, head long, a array<int>, b array<int>")
-    chained = cut(chained.select(F.xxhash64("doc_id", "head", "a", "b").alias("c"), "*"), "chains")
-    begin = lambda p: F.greatest(F.element_at(p, 1) - MARGIN, F.lit(0))
-    end = lambda p: F.element_at(p, -1) + k + MARGIN
+def _sides(chained: DataFrame, words: DataFrame, k: int, margin: int) -> DataFrame:
+    """Chains with ``x, y``, the words of both documents from ``margin`` before the first link to ``margin`` behind the last, and where these begin."""
+    begin = lambda p: F.greatest(F.element_at(p, 1) - margin, F.lit(0))
+    end = lambda p: F.element_at(p, -1) + k + margin
     side = lambda d, p, left: F.struct(F.col(d).alias("doc_id"), begin(p).alias("lo"), end(p).alias("hi"), F.lit(left).alias("left"))
     sides = chained.select("c", F.col("doc_id").alias("of"), "head", F.inline(F.array(side("doc_id", "a", True), side("head", "b", False))))
     cuts = sides.join(words, "doc_id").select("c", "of", "head", "left", "lo", F.substring("words", F.col("lo") * 3 + 1, (F.col("hi") - F.col("lo")) * 3).alias("w"))
     take = lambda left, v: F.max(F.when(F.col("left") == left, F.col(v)))
     both = cuts.groupBy("c", "of", "head").agg(take(True, "w").alias("x"), take(False, "w").alias("y"), take(True, "lo").alias("x0"), take(False, "lo").alias("y0"))
-    ready = chained.join(both.withColumnRenamed("of", "doc_id"), ["c", "doc_id", "head"])
-    return cut(ready.mapInArrow(_align_rows(k, least, identity), "doc_id long, match_id long, first int, last int, match_first int, match_last int, n_matched int, identity double"), "passages")
+    return chained.join(both.withColumnRenamed("of", "doc_id"), ["c", "doc_id", "head"])
+
+
+def _aligned(links: DataFrame, words: DataFrame, k: int, least: int, identity: float) -> DataFrame:
+    """The passages that links between documents, of ``k`` words each, lead to."""
+    chained = links.repartition("doc_id", "head").sortWithinPartitions("doc_id", "head", "at").mapInArrow(_chain_rows(), "doc_id long, head long, a array<int>, b array<int>")
+    todo = cut(chained.select(F.xxhash64("doc_id", "head", "a", "b").alias("c"), "*"), "chains")
+    parts, margin = [], MARGIN
+    while True:  # a round sees WIDER times as far, so there are as many as a text's length has digits
+        kinds = "doc_id long, match_id long, first int, last int, match_first int, match_last int, n_matched int, identity double, c long"
+        tried = cut(_sides(todo, words, k, margin).mapInArrow(_align_rows(k, least, identity, margin), kinds), "passages")
+        parts.append(tried.filter("c IS NULL").select(*PASSAGE))
+        wider = tried.filter("c IS NOT NULL").select("c", "doc_id", F.col("match_id").alias("head"))
+        if wider.isEmpty():
+            return reduce(DataFrame.union, parts)
+        todo, margin = cut(todo.join(wider, ["c", "doc_id", "head"], "left_semi"), "wider"), margin * WIDER
 
 
 def _places(held: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -391,28 +423,38 @@ def _places(held: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return places.filter(F.size("bare") > 0)
 
 
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text`` with a number for each id and text, in the order of ids and then hashes, and ``row, name`` that gives the ids back."""
+    given = docs.select(F.col(doc_id).alias("name"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    one = cut(given.groupBy("name", "h").agg(F.first("text").alias("text")), "rows")
+    names = one.select("name", "h").orderBy(F.asc_nulls_last("name"), "h").select("name", "h", F.monotonically_increasing_id().alias("row"))
+    names = cut(names, "names").alias("n")
+    texts = one.alias("o").join(names, F.col("o.name").eqNullSafe(F.col("n.name")) & (F.col("o.h") == F.col("n.h"))).select(F.col("row").alias("doc_id"), "text")
+    return cut(texts, "texts"), names.select("row", "name")
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """The passages of at least ``least`` words that documents share with others."""
     kind = docs.schema[doc_id].dataType
-    plain = isinstance(kind, IntegralType)
-    given = F.col(doc_id).cast("long") if plain else F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 2)
-    nameless = F.shiftrightunsigned(F.xxhash64(F.col(text)), 2) + F.lit(NAMELESS)
-    texts = docs.select(F.when(F.col(doc_id).isNull(), nameless).otherwise(given).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    words = texts.mapInArrow(_packed_rows, "doc_id long, words binary")
+    # whole numbers that tell all rows apart serve as they are
+    plain = isinstance(kind, IntegralType) and docs.groupBy(F.col(doc_id).alias("name")).count().filter("name IS NULL OR count > 1").isEmpty()
+    if plain:
+        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    else:
+        texts, names = _numbered(docs, doc_id, text)
+    words = cut(texts.mapInArrow(_packed_rows, "doc_id long, words binary"), "words")
     seeds = texts.mapInArrow(_seed_rows(k, window, least), "seed long, doc_id long, at int")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
     held = cut(seeds.join(shared, "seed"), "seeds")
-    found = _aligned(_linked(held), words, k, least, identity)
-    places = cut(_places(held, found, k), "places")
+    found = _aligned(_linked(held), words, SHORT, least, identity)
+    places = cut(_places(held.filter("seed % 2 = 0"), found, k), "places")
     again = places.join(texts, "doc_id").select("doc_id", "text", "held", "bare").mapInArrow(_key_rows(k, window, least), "seed long, doc_id long, at int")
     links = _linked(cut(again, "keys"))
     # of links on one diagonal one in 25 words is enough
     thin = links.groupBy("doc_id", "head", (F.col("at") - F.col("head_at")).alias("diagonal"), F.floor(F.col("at") / 25)).agg(F.min("at").alias("at"), F.min("head_at").alias("head_at")).select("doc_id", "head", "at", "head_at")
     found = found.unionByName(_aligned(thin, words, k, least, identity)).distinct()
     if plain:
-        own = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).cast(kind).alias(c)
-        return found.select(own("doc_id"), own("match_id"), *found.columns[2:])
-    names = docs.select(F.col(doc_id).alias("name")).filter("name IS NOT NULL").distinct().withColumn("of", F.shiftrightunsigned(F.xxhash64("name"), 2))
+        return found.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("match_id").cast(kind).alias("match_id"), *PASSAGE[2:])
     for c in ("doc_id", "match_id"):
-        found = found.join(names.select(F.col("name").alias(f"{c}_name"), F.col("of").alias(c)), c, "left").drop(c).withColumnRenamed(f"{c}_name", c)
-    return found.select("doc_id", "match_id", "first", "last", "match_first", "match_last", "n_matched", "identity")
+        found = found.withColumnRenamed(c, "row").join(names, "row").drop("row").withColumnRenamed("name", c)
+    return found.select(*PASSAGE)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from strandline.llm import near_dedup, substrings
@@ -66,19 +67,58 @@ def test_all_equal_runs_of_the_sample_are_found(spark):
 
 
 def test_fuzzy_passages_by_identity(spark):
-    """Of passages of 80 words with every nth word changed; a passage without a run of 23 equal words may have no seed."""
+    """Of passages of 80 words with every nth word changed, or with words put in and left out."""
     rng = random.Random(12)
-    docs, found = [], {}
-    for step in (10, 13, 20, 27):
-        for n in range(30):
+    docs, found, steps = [], {}, (6, 8, 10, 13, 20, 27)
+    for step in (*steps, 0):
+        for n in range(60):
             passage, base = fresh(rng, 80, "p"), 10000 * step + 10 * n
-            other = [f"c{rng.randrange(10**9)}" if i % step == step - 1 else w for i, w in enumerate(passage)]
+            if step:
+                other = [f"c{rng.randrange(10**9)}" if i % step == step - 1 else w for i, w in enumerate(passage)]
+            else:
+                other = list(passage)
+                for p in rng.sample(range(78), 4):
+                    other[p : p + 1] = rng.choice(([], [*fresh(rng, 1), other[p]]))
             docs += [(base, " ".join(fresh(rng, 40) + passage + fresh(rng, 40))), (base + 1, " ".join(fresh(rng, 40) + other + fresh(rng, 40)))]
     rows = substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect()
-    assert all(r.match_id == r.doc_id - 1 for r in rows)
-    for step in (10, 13, 20, 27):
-        found[step] = len({r.doc_id for r in rows if r.doc_id // 10000 == step}) / 30
-    assert found[27] == 1 and found[20] >= 0.9 and found[13] >= 0.6, found
+    assert all(r.match_id == r.doc_id - 1 and r["identity"] >= 0.8 for r in rows)
+    for step in (*steps, 0):
+        found[step] = len({r.doc_id for r in rows if r.doc_id // 10000 == step}) / 60
+    assert min(found.values()) >= 0.9 and found[27] == found[20] == found[13] == 1, found
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(14)
+    p, q = " ".join(fresh(rng, 60, "p")), " ".join(fresh(rng, 60, "q"))
+    for up in (0, 2**62):
+        docs = [(up + 1, p), (up + 1, "other " * 60), (up + 2, p), (up + 2, q), (up + 3, q), (up + 3, q)]
+        rows = substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect()
+        assert sorted((r.doc_id - up, r.match_id - up, r["first"], r["last"]) for r in rows) == [(2, 1, 0, 59), (3, 2, 0, 59)]
+
+
+def test_passages_far_beyond_their_seeds(spark):
+    """The middle's seeds link to an older document that holds it alone; the ends have none but are equal."""
+    rng = random.Random(15)
+    long = fresh(rng, 3000, "p")
+    docs = [(n, " ".join(fresh(rng, 5) + long[25 * n : 25 * n + 30] + fresh(rng, 5))) for n in range(119) if not 50 <= n < 53]
+    docs += [(1000 + i, " ".join(fresh(rng, 20) + long + fresh(rng, 20))) for i in range(2)]
+    rows = [r for r in substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect() if r.doc_id == 1001]
+    assert max(r["last"] - r["first"] for r in rows if r.match_id == 1000) >= 2990
+
+
+def test_best_chain_is_that_of_all_pairs(spark):
+    rng = random.Random(16)
+    for _ in range(200):
+        links = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(1, 25))})
+        score = [8.0] * len(links)
+        for m, (x, y) in enumerate(links):
+            for n, (u, v) in enumerate(links[:m]):
+                if u < x and v < y:
+                    score[m] = max(score[m], 8 + score[n] - substrings.GAP * (x - u + y - v))
+        a, b = (np.array(c) for c in zip(*links, strict=True))
+        best = [links[i] for i in substrings.chains(a, b, 8)[0]]
+        got = 8 * len(best) - sum(substrings.GAP * (x - u + y - v) for (u, v), (x, y) in zip(best[:-1], best[1:], strict=True))
+        assert got == pytest.approx(max(score))
 
 
 def test_passages_of_odd_rows(spark):
