@@ -1,6 +1,6 @@
 """Fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-1. Seeds: of every ``window`` successive runs of ``k`` words, the one with the least hash, with its place; and of all runs of
+1. Seeds: of every ``window`` successive runs of ``k`` words, the one with the least hash, with its place; and, for later (5.), of all runs of
    ``SHORT`` words, those whose hash is a multiple of ``ONE_IN``, wherever they stand.
 2. A seed that several documents hold is linked, in each, to its first place in the document with the least id that holds it:
    one link an occurrence, never all pairs of a seed.
@@ -8,15 +8,15 @@
    side; the best chain that ends before a link on both sides is a prefix maximum in a Fenwick tree. Chains
    are taken best first, and no link is in two.
 4. Alignment: a chain is followed link by link (equal stretches word by word, unequal ones by a small edit table inside a
-   band), and extended outward while the score doesn't drop by more than ``DROP``. It sees ``MARGIN`` words beyond its outer links; where
-   an extension comes to the end of these it is done again with ``WIDER`` times as many, until none does. A passage has at least ``least`` words on both
+   band), and extended outward while the score doesn't drop by more than ``DROP``,
+   by ``MARGIN`` words at most (what lies farther has seeds of its own). A passage has at least ``least`` words on both
    sides, of which at least ``identity`` match in order. A chain that is none as a whole is cut at its gaps: every stretch of it
    that no longer one holds is a passage, less those that the others cover.
 
 5. What no passage covers: a seed may have been linked to a document that holds too little of a passage which others hold whole. So seeds
    outside the passages found are looked up again together with the seeds before and after them. And every run of ``least`` words
    around such a seed in which all seeds are shared is looked up by its hash, which is exact: two documents with ``least`` equal words in
-   a row hold the same runs. Each key's occurrences are linked to the document with the least id that holds it, chained and aligned as before.
+   a row hold the same runs. Short seeds are linked as in 2. where one of the two places is in no passage: fuzzy passages may have no others. Each key's occurrences are linked to the document with the least id that holds it, chained and aligned as before.
 
 Result: ``doc_id, match_id, first, last, match_first, match_last, n_matched, identity`` per passage, in words from 0; clean
 documents have no row. ``match_id`` is the document with the least id that the passage was linked to, so that one with n copies has n - 1 rows.
@@ -34,7 +34,6 @@ one. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ from .common import cut, mix, shingle_hashes, slices, word_hashes
 
 K, WINDOW, LEAST, IDENTITY = 8, 16, 50, 0.8
 SHORT, ONE_IN = 4, 8
-GAP, DROP, BAND, MARGIN, WIDER = 0.1, 8, 48, 80, 8
+GAP, DROP, BAND, MARGIN = 0.1, 8, 48, 80
 PASSAGE = ["doc_id", "match_id", "first", "last", "match_first", "match_last", "n_matched", "identity"]
 
 
@@ -331,16 +330,7 @@ def stretches(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, k: int,
     return out
 
 
-def _runs_on(x: np.ndarray, y: np.ndarray, x_cut: bool, y_cut: bool) -> bool:
-    """Whether an extension along x and y ends only because the shorter of them was cut off."""
-    n = min(len(x), len(y))
-    if not (x_cut if len(x) < len(y) else y_cut if len(y) < len(x) else x_cut and y_cut):
-        return False
-    score = np.cumsum(np.where(x[:n] == y[:n], 1, -2))
-    return not (np.maximum.accumulate(np.maximum(score, 0)) - score > DROP).any()
-
-
-def _align_rows(k: int, least: int, identity: float, margin: int):
+def _align_rows(k: int, least: int, identity: float):
     def wide(packed: bytes) -> np.ndarray:
         out = np.zeros((len(packed) // 3, 4), np.uint8)
         out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
@@ -358,20 +348,14 @@ def _align_rows(k: int, least: int, identity: float, margin: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            docs, heads, xs, ys, x0s, y0s, chain = (batch.column(c).to_pylist() for c in ("doc_id", "head", "x", "y", "x0", "y0", "c"))
+            docs, heads, xs, ys, x0s, y0s = (batch.column(c).to_pylist() for c in ("doc_id", "head", "x", "y", "x0", "y0"))
             (a, a_at), (b, b_at) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("a"), batch.column("b")))
             for r, (doc, head, x, y, x0, y0) in enumerate(zip(docs, heads, xs, ys, x0s, y0s, strict=True)):
-                at, to, x, y = a[a_at[r] : a_at[r + 1]] - x0, b[b_at[r] : b_at[r + 1]] - y0, wide(x), wide(y)
-                end, goal = int(at[-1]) + k, int(to[-1]) + k
-                after = _runs_on(x[end:], y[goal:], len(x) - end >= margin, len(y) - goal >= margin)
-                if after or _runs_on(x[: at[0]][::-1], y[: to[0]][::-1], x0 > 0, y0 > 0):
-                    out.append((doc, head, *[None] * 6, chain[r]))
-                    continue
-                for a0, a1, b0, b1, matched in found(at, to, x, y):
-                    out.append((doc, head, a0 + x0, a1 + x0 - 1, b0 + y0, b1 + y0 - 1, matched, matched / max(a1 - a0, b1 - b0), None))
-            cols = zip(*out, strict=True) if out else [()] * 9
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*PASSAGE, "c"])
+                for a0, a1, b0, b1, matched in found(a[a_at[r] : a_at[r + 1]] - x0, b[b_at[r] : b_at[r + 1]] - y0, wide(x), wide(y)):
+                    out.append((doc, head, a0 + x0, a1 + x0 - 1, b0 + y0, b1 + y0 - 1, matched, matched / max(a1 - a0, b1 - b0)))
+            cols = zip(*out, strict=True) if out else [()] * 8
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], PASSAGE)
 
     return rows
 
@@ -383,46 +367,48 @@ def _linked(keys: DataFrame) -> DataFrame:
     return keys.join(heads, "seed").filter("doc_id <> head").select("doc_id", "head", "at", "head_at")
 
 
-def _sides(chained: DataFrame, words: DataFrame, k: int, margin: int) -> DataFrame:
-    """Chains with ``x, y``, the words of both documents from ``margin`` before the first link to ``margin`` behind the last, and where these begin."""
-    begin = lambda p: F.greatest(F.element_at(p, 1) - margin, F.lit(0))
-    end = lambda p: F.element_at(p, -1) + k + margin
+def _aligned(links: DataFrame, words: DataFrame, k: int, least: int, identity: float) -> DataFrame:
+    """The passages that links between documents, of ``k`` words each, lead to."""
+    chained = links.repartition("doc_id", "head").sortWithinPartitions("doc_id", "head", "at").mapInArrow(_chain_rows(), "doc_id long, head long, a array<int>, b array<int>")
+    chained = cut(chained.select(F.xxhash64("doc_id", "head", "a", "b").alias("c"), "*"), "chains")
+    begin = lambda p: F.greatest(F.element_at(p, 1) - MARGIN, F.lit(0))
+    end = lambda p: F.element_at(p, -1) + k + MARGIN
     side = lambda d, p, left: F.struct(F.col(d).alias("doc_id"), begin(p).alias("lo"), end(p).alias("hi"), F.lit(left).alias("left"))
     sides = chained.select("c", F.col("doc_id").alias("of"), "head", F.inline(F.array(side("doc_id", "a", True), side("head", "b", False))))
     cuts = sides.join(words, "doc_id").select("c", "of", "head", "left", "lo", F.substring("words", F.col("lo") * 3 + 1, (F.col("hi") - F.col("lo")) * 3).alias("w"))
     take = lambda left, v: F.max(F.when(F.col("left") == left, F.col(v)))
     both = cuts.groupBy("c", "of", "head").agg(take(True, "w").alias("x"), take(False, "w").alias("y"), take(True, "lo").alias("x0"), take(False, "lo").alias("y0"))
-    return chained.join(both.withColumnRenamed("of", "doc_id"), ["c", "doc_id", "head"])
+    ready = chained.join(both.withColumnRenamed("of", "doc_id"), ["c", "doc_id", "head"])
+    return cut(ready.mapInArrow(_align_rows(k, least, identity), "doc_id long, match_id long, first int, last int, match_first int, match_last int, n_matched int, identity double"), "passages")
 
 
-def _aligned(links: DataFrame, words: DataFrame, k: int, least: int, identity: float) -> DataFrame:
-    """The passages that links between documents, of ``k`` words each, lead to."""
-    chained = links.repartition("doc_id", "head").sortWithinPartitions("doc_id", "head", "at").mapInArrow(_chain_rows(), "doc_id long, head long, a array<int>, b array<int>")
-    todo = cut(chained.select(F.xxhash64("doc_id", "head", "a", "b").alias("c"), "*"), "chains")
-    parts, margin = [], MARGIN
-    while True:  # a round sees WIDER times as far, so there are as many as a text's length has digits
-        kinds = "doc_id long, match_id long, first int, last int, match_first int, match_last int, n_matched int, identity double, c long"
-        tried = cut(_sides(todo, words, k, margin).mapInArrow(_align_rows(k, least, identity, margin), kinds), "passages")
-        parts.append(tried.filter("c IS NULL").select(*PASSAGE))
-        wider = tried.filter("c IS NOT NULL").select("c", "doc_id", F.col("match_id").alias("head"))
-        if wider.isEmpty():
-            return reduce(DataFrame.union, parts)
-        todo, margin = cut(todo.join(wider, ["c", "doc_id", "head"], "left_semi"), "wider"), margin * WIDER
-
-
-def _places(held: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """``doc_id, held, bare``: places of shared seeds, and those in no passage, of documents that have some of the latter."""
+def _marked(held: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``seed, doc_id, at, short, bare``: shared seeds, and whether no passage covers them."""
     spans = found.select("doc_id", "first", "last").union(found.select("match_id", "match_first", "match_last")).distinct()
-    # passages open and close along a document; a seed is covered while one is open
-    steps = spans.filter(F.col("last") - F.col("first") >= k).select("doc_id", F.inline(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("step")), F.struct((F.col("last") - k + 2).alias("at"), F.lit(-1).alias("step")))))
-    steps = steps.groupBy("doc_id", "at").agg(F.sum("step").cast("int").alias("step"))
-    marks = held.select("doc_id", "at", F.lit(0).alias("step"), F.lit(True).alias("seed")).unionByName(steps.withColumn("seed", F.lit(False)))
-    opened = F.sum("step").over(Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    seeds = marks.withColumn("bare", opened == 0).filter("seed")
-    places = seeds.groupBy("doc_id").agg(F.collect_list("at").alias("held"), F.collect_list(F.when(F.col("bare"), F.col("at"))).alias("bare"))
+    # passages open and close along a document, for short seeds a little later; a seed is covered while one is open
+    step = lambda at, long, short: F.struct(at.alias("at"), F.lit(long).alias("step"), F.lit(short).alias("short_step"))
+    steps = spans.filter(F.col("last") - F.col("first") >= k).select("doc_id", F.inline(F.array(step(F.col("first"), 1, 1), step(F.col("last") - k + 2, -1, 0), step(F.col("last") - SHORT + 2, 0, -1))))
+    steps = steps.groupBy("doc_id", "at").agg(F.sum("step").cast("int").alias("step"), F.sum("short_step").cast("int").alias("short_step"))
+    marks = held.withColumn("step", F.lit(0)).withColumn("short_step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
+    along = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    opened = marks.withColumn("open", F.sum("step").over(along)).withColumn("short_open", F.sum("short_step").over(along)).filter("seed IS NOT NULL")
+    return opened.withColumn("short", F.col("seed") % 2 != 0).select("seed", "doc_id", "at", "short", (F.when(F.col("short"), F.col("short_open")).otherwise(F.col("open")) == 0).alias("bare"))
+
+
+def _places(marked: DataFrame) -> DataFrame:
+    """``doc_id, held, bare``: places of shared long seeds, and those in no passage, of documents that have some of the latter."""
+    places = marked.filter("NOT short").groupBy("doc_id").agg(F.collect_list("at").alias("held"), F.collect_list(F.when(F.col("bare"), F.col("at"))).alias("bare"))
     return places.filter(F.size("bare") > 0)
 
 
+def _short_links(marked: DataFrame) -> DataFrame:
+    """Links of short seeds, where one of the two places is in no passage."""
+    seeds = marked.filter("short")
+    heads = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at", "bare")).alias("h"), F.max("bare").alias("any")).filter("any").select("seed", "h")
+    links = seeds.join(heads, "seed").filter("doc_id <> h.doc_id AND (bare OR h.bare)")
+    return links.select("doc_id", F.col("h.doc_id").alias("head"), "at", F.col("h.at").alias("head_at"))
+
+
 def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text`` with a number for each id and text, in the order of ids and then hashes, and ``row, name`` that gives the ids back."""
     given = docs.select(F.col(doc_id).alias("name"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).filter("text IS NOT NULL")
@@ -446,13 +432,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     seeds = texts.mapInArrow(_seed_rows(k, window, least), "seed long, doc_id long, at int")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
     held = cut(seeds.join(shared, "seed"), "seeds")
-    found = _aligned(_linked(held), words, SHORT, least, identity)
-    places = cut(_places(held.filter("seed % 2 = 0"), found, k), "places")
-    again = places.join(texts, "doc_id").select("doc_id", "text", "held", "bare").mapInArrow(_key_rows(k, window, least), "seed long, doc_id long, at int")
+    found = _aligned(_linked(held.filter("seed % 2 = 0")), words, k, least, identity)
+    marked = cut(_marked(held, found, k), "marked")
+    again = _places(marked).join(texts, "doc_id").select("doc_id", "text", "held", "bare").mapInArrow(_key_rows(k, window, least), "seed long, doc_id long, at int")
     links = _linked(cut(again, "keys"))
     # of links on one diagonal one in 25 words is enough
     thin = links.groupBy("doc_id", "head", (F.col("at") - F.col("head_at")).alias("diagonal"), F.floor(F.col("at") / 25)).agg(F.min("at").alias("at"), F.min("head_at").alias("head_at")).select("doc_id", "head", "at", "head_at")
-    found = found.unionByName(_aligned(thin, words, k, least, identity)).distinct()
+    found = found.unionByName(_aligned(thin.unionByName(_short_links(marked)), words, SHORT, least, identity)).distinct()
     if plain:
         return found.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("match_id").cast(kind).alias("match_id"), *PASSAGE[2:])
     for c in ("doc_id", "match_id"):
