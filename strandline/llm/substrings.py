@@ -402,10 +402,12 @@ def _places(marked: DataFrame) -> DataFrame:
 
 
 def _short_links(marked: DataFrame) -> DataFrame:
-    """Links of short seeds, where one of the two places is in no passage."""
+    """Links of short seeds: of each place in no passage to the seed's first one; and to a first one in no passage, that of the next document."""
     seeds = marked.filter("short")
     heads = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at", "bare")).alias("h"), F.max("bare").alias("any")).filter("any").select("seed", "h")
-    links = seeds.join(heads, "seed").filter("doc_id <> h.doc_id AND (bare OR h.bare)")
+    links = seeds.join(heads, "seed").filter("doc_id <> h.doc_id")
+    following = links.filter("h.bare").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "at")).alias("d")).select("d.doc_id", "h", "d.at")
+    links = links.filter("bare").select("doc_id", "h", "at").union(following).distinct()
     return links.select("doc_id", F.col("h.doc_id").alias("head"), "at", F.col("h.at").alias("head_at"))
 
 

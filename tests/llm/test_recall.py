@@ -96,6 +96,16 @@ def test_passages_of_rows_that_share_an_id(spark):
         assert sorted((r.doc_id - up, r.match_id - up, r["first"], r["last"]) for r in rows) == [(2, 1, 0, 59), (3, 2, 0, 59)]
 
 
+def test_passages_far_beyond_their_seeds(spark):
+    """Nearly all seeds of a long passage link to older documents that hold 30 words of it."""
+    rng = random.Random(15)
+    long = fresh(rng, 3000, "p")
+    docs = [(n, " ".join(fresh(rng, 5) + long[25 * n : 25 * n + 30] + fresh(rng, 5))) for n in range(119) if not 50 <= n < 53]
+    docs += [(1000 + i, " ".join(fresh(rng, 20) + long + fresh(rng, 20))) for i in range(2)]
+    rows = substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert uncovered(docs, rows) == 0 and max(r["last"] - r["first"] for r in rows if r.doc_id == 1001) >= 2990
+
+
 def test_best_chain_is_that_of_all_pairs(spark):
     rng = random.Random(16)
     for _ in range(200):
