@@ -40,7 +40,7 @@ def empty_dir(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.split("_")[0] in {"top03", "top05", "fn01", "fn02", "win10", "ml18", "ml21", "ml22", "recall", "ml03", "fn09", "ml09", "fn05", "fn07", "st05", "st02", "st09", "top04", "jn08"}))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.split("_")[0] in {"top03", "top05", "fn01", "fn02", "win10", "ml18", "ml21", "ml22", "ml26", "st15", "udf03", "recall", "ml03", "fn09", "ml09", "fn05", "fn07", "st05", "st02", "st09", "top04", "jn08"}))
 def test_query_on_empty_tables(spark, empty_dir, name):
     QUERIES[name](spark, empty_dir).collect()
 
