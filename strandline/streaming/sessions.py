@@ -37,25 +37,27 @@ class _Sessions(StatefulProcessor):
         known = np.array(list(self.open.get()), np.int64).reshape(-1, 3)
         at = np.concatenate([df["event_us"].to_numpy(np.int64) for df in rows])
         start, end, n = joined(np.concatenate([known[:, 0], at]), np.concatenate([known[:, 1], at]), np.concatenate([known[:, 2], np.ones(len(at), np.int64)]), self.idle_ms * 1000)
-        self.open.put(list(zip(start.tolist(), end.tolist(), n.tolist(), strict=True)))
-        for e in end.tolist():
-            self.handle.registerTimer(self._due(e))
-        return iter(())
+        yield from self._keep(key, list(zip(start.tolist(), end.tolist(), n.tolist(), strict=True)), timerValues.getCurrentWatermarkInMs())
 
     def _due(self, end: int) -> int:
         return -(-end // 1000) + self.idle_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        known = list(self.open.get())
+    def _keep(self, key, known: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        """Gives what is over by now and keeps the rest, with one timer for the first that ends; rows that the watermark lets through go on with none that is over."""
         over, rest = [s for s in known if self._due(s[1]) <= now], [s for s in known if self._due(s[1]) > now]
         if rest:
             self.open.put(rest)
+            self.handle.registerTimer(min(self._due(s[1]) for s in rest))
         else:
             self.open.clear()
         if over:
             yield pd.DataFrame({**{b: [k] * len(over) for b, k in zip(self.by, key, strict=True)}, "started": [s[0] for s in over], "ended": [s[1] for s in over], "n": [s[2] for s in over]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = [tuple(s) for s in self.open.get()]
+        if known and min(self._due(s[1]) for s in known) <= timerValues.getCurrentWatermarkInMs():
+            yield from self._keep(key, known, timerValues.getCurrentWatermarkInMs())
+
     def close(self) -> None:
         pass
 
