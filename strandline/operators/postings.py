@@ -21,6 +21,7 @@ from strandline.functions import rules, stems
 from strandline.functions.scalars import tokens
 
 from .lineage import cut
+from .search import scored
 
 #: Weights of a field's letter (fixed values).
 LETTERS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
@@ -112,43 +113,16 @@ def _asked(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     return cut(asked.withColumn("bound", F.col("idf") * F.col("bound")))
 
 
-def _hits(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
-    """``query, key, part`` of the asked terms' postings; a term's postings are dealt over ``SALT`` parts, and so are the few rows that ask for it."""
-    post = of_terms(spark, path, asked).select("term", "key", "tf", "length").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)))
-    dealt = asked.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALT)])))
-    return post.join(dealt, ["term", "salt"]).select("query", "key", _part().alias("part"))
-
-
-def _part() -> Column:
-    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-
-
 def bm25_top(spark: SparkSession, path: str, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """``query, key, score, rank``: each query's k best documents by BM25, exactly, ties by key; ``queries`` has ``query, term``, a term given twice counts twice.
 
-    Common terms are read last and only for documents that can still win. The rarest terms with k postings give each query a score that its k-th best reaches at least. Terms whose
-    bounds together stay below it can't lift a document that has no other term, so only the other terms' lists are joined whole. Documents that even
-    these bounds leave below are dropped, and the rest is looked up by term and key. Scores are rounded to ``digits`` before they are compared.
+    The asked terms' postings are gathered by document, once for all queries, and each task keeps the k best of its documents for each query: what is shuffled grows
+    with the postings, not with the pairs of queries and documents. Scores are rounded to ``digits`` before they are compared.
     """
-    asked, slack = _asked(spark, path, queries), 10.0 ** -(digits or 9)
-    rarest = Window.partitionBy("query").orderBy("df", "term")
-    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = cut(_hits(spark, path, asked.withColumn("before", before).filter(F.col("before") < k)).groupBy("query", "key").agg(F.sum("part").alias("score")))
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("rank") == k).select("query", (F.col("score") - 2 * slack).alias("floor"))
-    weakest = F.sum("bound").over(Window.partitionBy("query").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = asked.join(best, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).withColumn("upto", weakest).withColumn("late", F.col("upto") < F.col("floor"))
-    ranked = cut(ranked)
-    late = ranked.filter("late")
-    room = late.groupBy("query").agg(F.sum("bound").alias("room"), F.first("floor").alias("floor"))
-    found = _hits(spark, path, ranked.filter("NOT late")).groupBy("query", "key").agg(F.sum("part").alias("score"))
-    found = cut(found.join(room, "query", "left").filter(F.col("room").isNull() | (F.col("score") + F.col("room") >= F.col("floor"))).select("query", "key", "score"))
-    lookups = found.join(late, "query").select("query", "key", "term", "idf", "avg_length")
-    post = of_terms(spark, path, late).select("term", "key", "tf", "length")
-    more = lookups.join(post, ["term", "key"]).select("query", "key", _part().alias("score"))
-    total = found.unionByName(more).groupBy("query", "key").agg(F.sum("score").alias("score"))
-    total = total if digits is None else total.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = _asked(spark, path, queries)
+    post = of_terms(spark, path, asked).select("key", "length", "term", "tf")
+    rows = post.groupBy("key", "length").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tf"))
+    return scored(rows, asked.select("query", "term", "idf"), spark.read.parquet(f"{path}/about").head()["avg_length"] or 1.0, K1, B, k, digits)
 
 
 # --- ranks by position -----------------------------------------------------------------------------------------

@@ -106,10 +106,7 @@ def direction(spark, sf_dir):
 @query("top04_keyword_in_scope", f"SELECT query, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, key) AS rank FROM ({_BM25}) JOIN documents a ON a.doc_id = query JOIN documents b ON b.doc_id = key AND b.lang = a.lang QUALIFY rank <= 10")
 def keyword_in_scope(spark, sf_dir):
     """The ten best documents of the query's own language."""
-    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    end = lambda c: lang.select(F.col("doc_id").alias(c), "lang")
-    hits = _keyword(spark, sf_dir).withColumn("score", F.round("score", 6))
-    return ranking.ranked(hits.join(end("query"), "query").join(end("key"), ["key", "lang"]), "query").filter("rank <= 10").select("query", "key", "score", "rank")
+    return _keyword(spark, sf_dir, 10, 6, scope="lang").select("query", "key", "score", "rank")
 
 
 @query("top05_session_topk", "WITH d AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS v FROM d GROUP BY label), q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query, label AS key, row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(v, q) DESC, label) AS rank FROM q, c QUALIFY rank <= 5")
