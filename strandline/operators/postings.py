@@ -239,7 +239,8 @@ def text_ranks(spark: SparkSession, path: str, queries: DataFrame, analyzer: str
     frequencies, or, where all of several terms must occur, closeness of pairs. Every alternative starts from the documents of its rarest term, and its other terms are
     looked up for those only. Alternatives without a wanted word, or with a wanted word that nowhere occurs, match nothing.
     """
-    each = queries.filter("query IS NOT NULL").select("query", _parsed(analyzer == "english")("said").alias("asked")).filter("size(asked) > 0")
+    alike = cut(queries.filter("query IS NOT NULL AND said IS NOT NULL").select("query", "said").distinct())
+    each = alike.select("said").distinct().select(F.col("said").alias("query"), _parsed(analyzer == "english")("said").alias("asked")).filter("size(asked) > 0")
     each = cut(each)
     terms = each.select("query", F.explode("asked").alias("a")).select("query", "a.*")
     sizes = terms.join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -257,4 +258,5 @@ def text_ranks(spark: SparkSession, path: str, queries: DataFrame, analyzer: str
             got = [_both_ranks(list(r), list(a)) or (None, None) for r, a in zip(rows, asked, strict=True)]
             yield pd.DataFrame(got, columns=["dense", "plain"], dtype=float)
 
-    return gathered.select("query", "key", ranks("rows", "asked").alias("r")).filter("r.dense IS NOT NULL").select("query", "key", "r.dense", F.col("r.plain").alias("rank_plain"))
+    found = gathered.select("query", "key", ranks("rows", "asked").alias("r")).filter("r.dense IS NOT NULL").select(F.col("query").alias("said"), "key", "r.dense", F.col("r.plain").alias("rank_plain"))
+    return found.join(F.broadcast(alike), "said").select("query", "key", "dense", "rank_plain")  # equal queries are answered once
