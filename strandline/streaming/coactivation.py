@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandline.operators.graph import fold
+from strandline.functions.scalars import association_weight
+from strandline.operators.graph import added
 
 from .store import Store
 
@@ -16,12 +17,18 @@ def edges(spark: SparkSession, path: str, node: str = "bigint", buckets: int = 6
     return Store(spark, path, f"src {node}, dst {node}, n bigint, weight double", ["src", "dst"], buckets)
 
 
+def counted(store: Store, known: DataFrame, new: DataFrame) -> DataFrame:
+    """Known counts with new pairs added, shuffled once: they are summed where the store writes them."""
+    dealt = store.dealt(added(new, known))
+    return dealt.groupBy(*store.places(), "src", "dst").agg(F.sum("n").alias("n")).withColumn("weight", association_weight(F.col("n")))
+
+
 def fold_stream(pairs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Folds a stream of ``src, dst`` into the store of :func:`edges`: a batch rewrites only the buckets its pairs fall in, and counts once, however often it is run."""
     store = edges(pairs.sparkSession, path, pairs.schema["src"].dataType.simpleString(), buckets)
 
     def batch(df: DataFrame, n: int) -> None:
-        store.update(n, df, lambda known, new: fold(new, known))
+        store.update(n, df, lambda known, new: counted(store, known, new))
         store.vacuum()
 
     return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
