@@ -9,16 +9,22 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, Not
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandline.streaming.store import Store
 
 EVENT = "file string, line long, session_id string, agent_kind string, cwd string, git_branch string, started_at string, ended_at string, position int, event_id string, type string, kind string, text string, at string, tags array<string>, entities array<string>"
 SCHEMA = f"{EVENT}, error string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
+#: Events that are handed to Spark at a time.
+BATCH = 4096
 #: The type of every event (content of a thread is written outside), and the agent of sessions that name none (fixed values).
 TYPE, AGENT = "user", "github"
 
@@ -27,8 +33,8 @@ class BadRecord(ValueError):
     """What is wrong with a record, with its file and line."""
 
 
-def _checked(text: str) -> tuple[dict, list[dict]]:
-    """The session and events of a line; raises with what is wrong."""
+def _checked(text: str) -> tuple[dict, list[dict], str]:
+    """The session, events and id of a line; raises with what is wrong."""
     try:
         record = json.loads(text)
     except ValueError as e:
@@ -37,7 +43,7 @@ def _checked(text: str) -> tuple[dict, list[dict]]:
     if not isinstance(session, dict) or not session.get("id"):
         raise BadRecord("session.id is missing")
     try:
-        uuid.UUID(session["id"])
+        of = str(uuid.UUID(session["id"]))
     except (ValueError, AttributeError, TypeError) as e:
         raise BadRecord(f"session.id {session['id']!r} is no UUID") from e
     events = record.get("events") or []
@@ -46,7 +52,7 @@ def _checked(text: str) -> tuple[dict, list[dict]]:
     for i, e in enumerate(events):
         if not isinstance(e, dict) or not e.get("kind"):
             raise BadRecord(f"events[{i}]: kind is missing")
-    return session, events
+    return session, events, of
 
 
 class _File(InputPartition):
@@ -105,14 +111,13 @@ class _Reader(DataSourceReader):
 
     def _rows(self, path: str, n: int, line: bytes) -> Iterator[tuple]:
         try:
-            session, events = _checked(line.decode())
+            session, events, of = _checked(line.decode())
         except (BadRecord, UnicodeDecodeError) as e:
             if self.mode == "strict":
                 raise BadRecord(f"{path} line {n}: {e}") from e
             if self.only is None:
                 yield (path, n, *[None] * (len(FIELDS) - 3), str(e))
             return
-        of = str(uuid.UUID(session["id"]))
         if of in self.done or (self.only is not None and of not in self.only):
             return
         text = lambda x: None if x is None or x == "" else str(x)
@@ -121,6 +126,19 @@ class _Reader(DataSourceReader):
             yield (*head, i, text(e.get("id")), TYPE, e["kind"], e.get("content") or "", text(e.get("created_at")), [str(t) for t in e.get("tags") or []], [str(t) for t in e.get("entities") or []], None)
 
 
+class _Batches(_Reader):
+    """Gives Spark whole batches, whose columns are made at once instead of value by value."""
+
+    def __init__(self, options: dict, schema: StructType) -> None:
+        super().__init__(options)
+        self.kind = to_arrow_schema(schema)
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        rows, kind = super().read(partition), self.kind
+        while some := list(islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kind.types, strict=True)], schema=kind)
+
+
 class Bundles(DataSource):
     """``mode`` is ``strict`` (the first bad record fails the read, named by file and line) or ``collect`` (bad records are rows with an ``error``)."""
 
@@ -132,7 +150,7 @@ class Bundles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Batches(self.options, schema)
 
 
 def register(spark: SparkSession) -> None:
