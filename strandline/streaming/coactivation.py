@@ -19,8 +19,9 @@ def edges(spark: SparkSession, path: str, node: str = "bigint", buckets: int = 6
 
 def counted(store: Store, known: DataFrame, new: DataFrame) -> DataFrame:
     """Known counts with new pairs added, shuffled once: they are summed where the store writes them."""
-    dealt = store.dealt(added(new, known))
-    return dealt.groupBy(*store.places(), "src", "dst").agg(F.sum("n").alias("n")).withColumn("weight", association_weight(F.col("n")))
+    both = added(new, known)
+    dealt, place = store.dealt(both, both.count())
+    return dealt.groupBy(*place, "src", "dst").agg(F.sum("n").alias("n")).withColumn("weight", association_weight(F.col("n")))
 
 
 def fold_stream(pairs: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:

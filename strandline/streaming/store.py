@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task folds, about.
+TASK_ROWS = 1 << 19
+
 
 class Store:
     """Rows of ``schema``, dealt by ``keys`` into ``buckets`` folders below ``path``.
@@ -43,15 +46,14 @@ class Store:
     def bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def places(self) -> list[Column]:
-        """A row's bucket as ``_bucket``, and as ``_slot`` the part of the bucket that one task writes; there are as many parts as shuffles have tasks for a bucket."""
-        slots = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
-        return [self.bucket().alias("_bucket"), F.pmod(F.hash(*self.keys), F.lit(slots)).cast("int").alias("_slot")]
+    def dealt(self, rows: DataFrame, n: int = 0) -> tuple[DataFrame, list[Column]]:
+        """Rows, about ``n``, those of one place in one task, and what the place is: ``_bucket``, and ``_slot``, a part of the bucket that one task writes.
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows, those of one place in one task: what is grouped by the places and more isn't shuffled again."""
-        bucket, slot = self.places()
-        return rows.repartition(max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), bucket, slot)
+        What is grouped by the place and more isn't shuffled again. There are as many tasks as in other shuffles, or one for ``TASK_ROWS`` rows.
+        """
+        tasks = max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+        slot = F.pmod(F.hash(*self.keys), F.lit(max(1, tasks // self.buckets))).cast("int")
+        return rows.repartition(tasks, self.bucket(), slot), [self.bucket().alias("_bucket"), slot.alias("_slot")]
 
     def read(self, only: list[int] | None = None, batch: int | None = None) -> DataFrame:
         """The rows now, or after a batch, of all buckets or some."""
@@ -61,7 +63,7 @@ class Store:
     def update(self, batch: int, new: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> bool:
         """Replaces the buckets that ``new`` touches by ``fold(rows there, new)``; whether the batch was new. A failure leaves all as it was.
 
-        Where ``fold`` gives ``_bucket``, by :meth:`places`, its rows are taken to be dealt by it already.
+        Where ``fold`` gives ``_bucket``, from :meth:`dealt`, its rows are taken to be dealt already.
         """
         known = self.batches()
         if known and batch <= known[-1]:
@@ -69,7 +71,7 @@ class Store:
         touched = [r[0] for r in new.select(self.bucket()).distinct().collect()]  # at most as many as there are buckets
         rows = fold(self.read(touched), new)
         if "_bucket" not in rows.columns:
-            rows = self.dealt(rows.select(*self.schema.names)).withColumn("_bucket", self.bucket())
+            rows = self.dealt(rows.select(*self.schema.names))[0].withColumn("_bucket", self.bucket())
         rows.select(*self.schema.names, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/{batch}")
         written = {int(n.split("=")[1]) for n in self._names(f"data/{batch}") if n.startswith("_bucket=")}
         log = {b: n for b, n in self._log().items() if b not in set(touched)} | dict.fromkeys(written, batch)
