@@ -57,8 +57,13 @@ def _distances(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     out, left, right = np.ones((len(a), len(b))), matrices(a), matrices(b)
     for size, (unit, at) in left.items():
         if size in right:
-            out[np.ix_(at, right[size][1])] = np.clip(1 - unit @ right[size][0].T, 0, 2)
-    return np.round(out, DIGITS)
+            d = unit @ right[size][0].T
+            np.clip(np.subtract(1, d, out=d), 0, 2, out=d)
+            if d.shape == out.shape:
+                out = d
+            else:
+                out[np.ix_(at, right[size][1])] = d
+    return np.round(out, DIGITS, out=out)
 
 
 def _sides(table: pa.Table):
@@ -105,9 +110,11 @@ def _searched(nodes: DataFrame, comps: DataFrame, open_: DataFrame) -> DataFrame
             if not a.num_rows or not b.num_rows:
                 continue
             b = b.sort_by("id")
-            w = np.maximum(np.maximum(a.column("core").to_numpy()[:, None], b.column("core").to_numpy()), _distances(a.column("vec"), b.column("vec")))
-            comp_a, comp_b = (np.array(t.column("comp").to_pylist(), object) for t in (a, b))
-            w[comp_a[:, None] == comp_b] = np.inf
+            w = _distances(a.column("vec"), b.column("vec"))
+            np.maximum(w, a.column("core").to_numpy()[:, None], out=w)
+            np.maximum(w, b.column("core").to_numpy(), out=w)
+            comps = pa.chunked_array([*a.column("comp").chunks, *b.column("comp").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            w[comps[: len(w), None] == comps[len(w) :]] = np.inf
             at = w.argmin(axis=1)  # of equal ones the least id
             keep = np.flatnonzero(np.isfinite(w[np.arange(len(w)), at]))
             parts.append(pa.table({"space": a.column("space").take(pa.array(keep)), "id": a.column("id").take(pa.array(keep)), "other": b.column("id").take(pa.array(at[keep])), "w": pa.array(w[keep, at[keep]])}))
