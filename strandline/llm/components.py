@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = cut(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        drop(labels)
         labels = step.select("node", "label")
         if step.filter("was <> label").isEmpty():
+            drop(both)
             return labels

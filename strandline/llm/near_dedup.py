@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, mix, shingle_hashes, slices, text_key, word_hashes
+from .common import cut, drop, drop_rows, mix, shingle_hashes, slices, text_key, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, SAMPLED, SKETCHES = 5, 0.8, 3, 16
@@ -264,20 +264,27 @@ def _prefix_links(mixed: DataFrame, first: DataFrame, words: DataFrame, k: int,
     differ = sum((F.bit_count(F.col(f"a.{b}").bitwiseXOR(F.col(f"b.{b}"))) for b in BITS[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
     near = (F.col("a.own") != F.col("b.own")) & (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-6) & (differ <= (1 - threshold) / (1 + threshold) * (x + y) + 1e-6)
     bits = mixed.select("node", "words").mapInArrow(_bitmap_rows(k), f"node binary, {', '.join(f'{b} long' for b in BITS)}")
-    held, links = cut(apart(rows).join(bits, "node"), "bitmaps"), first
+    shared, links = apart(rows), first
+    drop(rows)
+    held = cut(shared.join(bits, "node"), "bitmaps")
+    drop(shared)
     for part in range(ROUNDS):
         some = held.filter(F.pmod("token", F.lit(8)) == part)
         pick = F.min_by(F.struct("size", "node", "own", *BITS), F.xxhash64("node", "token"))
         heads = some.groupBy("token").agg(pick.alias("h")).select("token", "h.*")
         links = verified(heads.alias("a").join(some.alias("b"), "token").filter(near), links)
         labels = components(links.filter(F.col("similarity") >= threshold))
-        held = held.withColumnRenamed("own", "was").join(labels, "node", "left").withColumn("own", F.xxhash64(F.coalesce("label", "node"))).drop("was", "label")
-        held = apart(cut(held, "prefixes"))
+        known = cut(held.withColumnRenamed("own", "was").join(labels, "node", "left").withColumn("own", F.xxhash64(F.coalesce("label", "node"))).drop("was", "label"), "prefixes")
+        drop(held, labels)
+        held = apart(known)
+        drop(known)
     a, b = held.filter("short").alias("a"), held.alias("b")
     first_of = (x < y) | ((x == y) & (F.col("a.node") < F.col("b.node")))
     left = F.least(x - F.col("a.at"), y - F.col("b.at"))  # what they can still share, this token included
     fits = left >= threshold / (1 + threshold) * (x + y) - 1e-6
-    return verified(a.join(b, (F.col("a.token") == F.col("b.token")) & near & first_of & fits), links)
+    links = verified(a.join(b, (F.col("a.token") == F.col("b.token")) & near & first_of & fits), links)
+    drop(held)
+    return links
 
 
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, sampled: int = SAMPLED, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
@@ -297,13 +304,16 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     first = _verify(pairs, words, k, threshold)
     if first.filter(F.col("similarity") < threshold).isEmpty():
         return rows.select("doc_id", "node", "key"), first
-    labels = cut(components(first.filter(F.col("similarity") >= threshold)), "joined")
+    labels = components(first.filter(F.col("similarity") >= threshold))
     placed = buckets.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = placed.withColumn("own", F.xxhash64("label"))
     bands = placed.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("band")
     mixed = placed.join(bands, "band", "left_semi").select("node", "label").distinct()
     mixed = cut(words.join(mixed, "node"), "mixed")
-    return rows.select("doc_id", "node", "key"), _prefix_links(mixed, first, words, k, threshold)
+    drop(buckets, labels)
+    links = _prefix_links(mixed, first, words, k, threshold)
+    drop(mixed, words)
+    return rows.select("doc_id", "node", "key"), links
 
 
 def _classed(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float, sampled: int, sketches: int) -> tuple[DataFrame, DataFrame]:
