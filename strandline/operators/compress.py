@@ -11,6 +11,7 @@ from strandline.functions.scalars import tokens
 
 from . import consolidate, memory, prune
 from .communities import leiden
+from .lineage import cut
 
 #: Columns of turns; their order within a question.
 TURN, ORDER = ["query", "session", "turn", "text"], ["session", "turn"]
@@ -54,8 +55,9 @@ def bm25(turns: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -
     """``query, session, turn, score`` of turns that have words of their question, the question's turns being the corpus; a word asked twice counts once."""
     words = turns.select(*TURN[:3], tokens(F.col("text")).alias("w"))
     corpus = words.groupBy("query").agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_length"))
-    terms = asked.select("query", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    found = words.select(*TURN[:3], F.size("w").alias("length"), F.explode("w").alias("term")).join(terms, ["query", "term"]).groupBy(*TURN[:3], "length", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("query", F.array_distinct(tokens(F.col("question"))).alias("q")).filter("size(q) > 0")
+    own = turns.select(*TURN[:3], "text").join(terms, "query").select(*TURN[:3], "q", tokens(F.col("text")).alias("w"))  # only words that are asked for are rows
+    found = own.select(*TURN[:3], F.size("w").alias("length"), F.explode(F.filter("w", lambda x: F.array_contains("q", x))).alias("term")).groupBy(*TURN[:3], "length", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("query", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
@@ -111,7 +113,7 @@ def _extractive_relevance(turns, asked, budget, scorer):
 @compressor("extractive_relevance_expanded")
 def _extractive_relevance_expanded(turns, asked, budget, scorer):
     """The best that fit a part of the budget, then in order of time the turns before and after them that fit the rest."""
-    first = _best(_by(scorer, turns, asked), int(budget * (1 - RESERVE) + 1e-9))
+    first = cut(_best(_by(scorer, turns, asked), int(budget * (1 - RESERVE) + 1e-9)))  # read three times
     near = first.select("query", "session", F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1)).alias("turn")).distinct()
     more = turns.join(near, TURN[:3], "left_semi").join(first.select(*TURN[:3]), TURN[:3], "left_anti")
     rows = first.select(*TURN, "cost", F.lit(0).alias("phase")).unionByName(more.select(*TURN, "cost", F.lit(1).alias("phase")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import runs
 from .sessions import free
 
 #: Weights of a turn by role (fixed values).
@@ -29,18 +34,25 @@ def role_weight(role: str = "role") -> Column:
 def within_budget(items: DataFrame, by: str, budget: int, order: list[str], cost: str = "cost") -> DataFrame:
     """Items of each key, taken in order while they fit: what doesn't fit is passed over and later ones are still tried.
 
-    Each choice depends on those before it, so a key is one task; its items are one question's candidates. Null costs never fit.
+    Each choice depends on those before it, so a key is one task, which reads its items sorted and holds what is left of one budget. Null costs never fit.
     """
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, left, keep = rows.sort_values(order, kind="stable"), budget, []
-        for c in rows[cost]:
-            fits = pd.notna(c) and c <= left
-            left -= c if fits else 0
-            keep.append(fits)
-        return rows[keep]
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, budget
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            costs = batch.column(cost).to_pylist()
+            for key, lo, hi in runs(batch.column(by)):
+                if (key,) != last:
+                    last, left = (key,), budget
+                for i in range(lo, hi):
+                    if costs[i] is not None and costs[i] <= left:
+                        keep[i] = True
+                        left -= costs[i]
+            yield batch.filter(pa.array(keep))
 
-    return items.groupBy(by).applyInPandas(choose, items.schema)
+    dealt = items.repartition(F.col(f"`{by}`")).sortWithinPartitions(F.col(f"`{by}`"), *(F.col(f"`{c}`").asc_nulls_last() for c in order))
+    return dealt.mapInArrow(choose, items.schema)
 
 
 def round_robin(items: DataFrame, by: str, community: str, budget: int, order: list[str], cost: str = "cost") -> DataFrame:
@@ -68,8 +80,6 @@ def grown(counts: DataFrame, known: DataFrame, step: float = 1.01, first: float
 
 def most_diverse(rows: DataFrame, by: str, k: int, dims: int, balance: float = 0.5, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``by, key, place``: up to ``k`` vectors of each key by maximal marginal relevance to its centroid (ties: the least key); the first is the most central one."""
-    import numpy as np
-
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
