@@ -83,8 +83,9 @@ def jaccard_graph(items: DataFrame, by: str, item: str, words: str, least: float
     """
     each = items.select(by, item, F.array_distinct(words).alias("w")).filter(F.size("w") > 0)
     a, b = (each.select(by, F.col(item).alias(end), F.col("w").alias(f"w_{end}")) for end in ("src", "dst"))
-    weight = F.size(F.array_intersect("w_src", "w_dst")) / F.size(F.array_union("w_src", "w_dst"))
-    return a.join(b, by).filter("src < dst").select(by, "src", "dst", weight.alias("weight")).filter(F.col("weight") >= least)
+    both = F.size(F.array_intersect("w_src", "w_dst"))  # words are distinct, so the rest of the union needs no set of its own
+    pairs = a.join(b, by).filter("src < dst").select(by, "src", "dst", (F.size("w_src") + F.size("w_dst")).alias("words"), F.explode(F.array(both)).alias("both"))  # found once, for weight and filter
+    return pairs.select(by, "src", "dst", (F.col("both") / (F.col("words") - F.col("both"))).alias("weight")).filter(F.col("weight") >= least)
 
 
 def first_tokens(turns: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
