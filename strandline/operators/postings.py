@@ -128,21 +128,23 @@ def bm25_top(spark: SparkSession, path: str, queries: DataFrame, k: int, digits:
 # --- ranks by position -----------------------------------------------------------------------------------------
 
 
-def _parsed(english: bool):
+def parsed(text: str | None, english: bool) -> list[dict]:
     """Alternatives of a query as ``alt, unit, off, term, no``: the words of each unit (a word or phrase), whether it must not occur."""
+    out = []
+    for alt, (wanted, unwanted) in enumerate(rules.websearch(text or "")):
+        for unit, (phrase, no) in enumerate([(w, False) for w in wanted] + [(w, True) for w in unwanted]):
+            for off, word in enumerate(phrase.split(" ")):
+                if not english or word not in stems.STOP_WORDS:
+                    out.append({"alt": alt, "unit": unit, "off": off, "term": stems.stem(word) if english else word, "no": no})
+    return out
+
+
+def _parsed(english: bool):
+    """:func:`parsed` as a function of a column."""
 
     @F.pandas_udf("array<struct<alt: int, unit: int, off: int, term: string, no: boolean>>")
     def parse(said: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            out = []
-            for alt, (wanted, unwanted) in enumerate(rules.websearch(text or "")):
-                for unit, (phrase, no) in enumerate([(w, False) for w in wanted] + [(w, True) for w in unwanted]):
-                    for off, word in enumerate(phrase.split(" ")):
-                        if not english or word not in stems.STOP_WORDS:
-                            out.append({"alt": alt, "unit": unit, "off": off, "term": stems.stem(word) if english else word, "no": no})
-            return out
-
-        return said.map(one)
+        return said.map(lambda text: parsed(text, english))
 
     return parse
 
@@ -169,7 +171,7 @@ def _occurrences(words: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return start + lo, start + hi
 
 
-def _both_ranks(rows: list[dict], asked: list[dict]) -> tuple[float, float] | None:
+def both_ranks(rows: list[dict], asked: list[dict]) -> tuple[float, float] | None:
     """(cover density, frequency or closeness) of one document for one query; none where no alternative holds."""
     have: dict = {}
     for r in rows:
@@ -255,7 +257,7 @@ def text_ranks(spark: SparkSession, path: str, queries: DataFrame, analyzer: str
     @F.pandas_udf("struct<dense: double, plain: double>")
     def ranks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for rows, asked in batches:
-            got = [_both_ranks(list(r), list(a)) or (None, None) for r, a in zip(rows, asked, strict=True)]
+            got = [both_ranks(list(r), list(a)) or (None, None) for r, a in zip(rows, asked, strict=True)]
             yield pd.DataFrame(got, columns=["dense", "plain"], dtype=float)
 
     found = gathered.select("query", "key", ranks("rows", "asked").alias("r")).filter("r.dense IS NOT NULL").select(F.col("query").alias("said"), "key", "r.dense", F.col("r.plain").alias("rank_plain"))
