@@ -20,12 +20,17 @@ FILE_ROWS = 1 << 20
 OTHER = -1
 
 
+def _nearest(unit: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The centroid nearest to each vector, some vectors at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *((unit[lo : lo + 1024] @ books.T).argmax(axis=1) for lo in range(0, len(unit), 1024))])
+
+
 def _fit(unit: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
     """Unit centroids by rounds of nearest-centroid means; a centroid that nothing is nearest to stays."""
     rng = np.random.default_rng(seed)
     books = unit[rng.choice(len(unit), cells, replace=False)].copy()
     for _ in range(rounds):
-        at = (unit @ books.T).argmax(axis=1)
+        at = _nearest(unit, books)
         order = np.argsort(at, kind="stable")
         used, start = np.unique(at[order], return_index=True)
         mean = np.add.reduceat(unit[order], start, axis=0)
@@ -40,11 +45,13 @@ def _probes(unit: np.ndarray, books: np.ndarray, k: int, recall: float) -> int:
 
     A sample's k nearest lie further off than those of all rows, so the number errs to the safe side.
     """
-    own, near = unit[:256], (unit @ books.T).argmax(axis=1)
-    k = min(k, len(unit))
-    best = np.argsort(-(own @ unit.T), axis=1, kind="stable")[:, :k]
-    place = np.argsort(np.argsort(-(own @ books.T), axis=1, kind="stable"), axis=1)  # rank of each list for each query
-    needed = np.sort(np.take_along_axis(place, near[best], 1).ravel())
+    near, k, needed = _nearest(unit, books), min(k, len(unit)), []
+    for lo in range(0, min(256, len(unit)), 32):
+        own = unit[lo : min(lo + 32, 256)]
+        best = np.argsort(-(own @ unit.T), axis=1, kind="stable")[:, :k]
+        place = np.argsort(np.argsort(-(own @ books.T), axis=1, kind="stable"), axis=1)  # rank of each list for each query
+        needed.append(np.take_along_axis(place, near[best], 1).ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
 
 
@@ -63,7 +70,7 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vec: str = "embedd
     unit = matrices(sample.column("vec")).get(dims, (np.zeros((0, dims)), None))[0]
     cells = min(max(1, cells or round(n**0.5)), MOST_CELLS, len(unit))
     books = _fit(unit, cells, rounds, seed) if cells else np.zeros((0, dims))
-    share = np.bincount((unit @ books.T).argmax(axis=1), minlength=cells) / max(1, len(unit)) if cells else np.zeros(0)
+    share = np.bincount(_nearest(unit, books), minlength=cells) / max(1, len(unit)) if cells else np.zeros(0)
     files = np.ceil(share * n / FILE_ROWS).astype(np.int64).clip(1)
     about = {"dims": dims, "cells": cells, "probes": _probes(unit, books, k, recall) if cells else 0, "books": books.tolist()}
 
@@ -74,7 +81,7 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vec: str = "embedd
             for size, (own, at) in matrices(batch.column("vec")).items():
                 found[at] = True
                 if size == dims:
-                    cell[at] = (own @ books.T).argmax(axis=1)
+                    cell[at] = _nearest(own, books)
             many = np.where(cell >= 0, files[cell.clip(0)] if cells else 1, 64)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(many.astype(np.int32)), batch.column("key"), batch.column("vec")], ["cell", "files", "key", "vec"]).filter(pa.array(found))
 
@@ -99,16 +106,18 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     lists = spark.read.schema(f"key {row['key']}, vec {row['vec']}, cell int").parquet(f"{path}/lists")
 
     def one(rows: pa.Table) -> DataFrame | None:
-        names, targets = rows.column("query").to_pylist(), {}
+        names, targets, read = rows.column("query").to_pylist(), {}, None
         for size, (unit, at) in matrices(rows.column("vec")).items():
             if size != dims:
                 targets[OTHER, size] = [names[int(i)] for i in at], unit
             elif cells:
-                read = np.argsort(-(unit @ books.T), axis=1, kind="stable")[:, :probes]
-                for c in np.unique(read).tolist():
-                    mine = np.flatnonzero((read == c).any(axis=1))
-                    targets[c, size] = [names[int(at[i])] for i in mine], unit[mine]
-        return best_rows(lists.filter(F.col("cell").isin(sorted({c for c, _ in targets}))), targets, k, kind) if targets else None
+                bits = np.zeros((cells, len(unit)), bool)
+                for lo in range(0, len(unit), 256):
+                    lists_of = np.argsort(-(unit[lo : lo + 256] @ books.T), axis=1, kind="stable")[:, :probes]
+                    bits[lists_of, np.arange(lo, lo + len(lists_of))[:, None]] = True
+                read = [names[int(i)] for i in at], unit, np.packbits(bits, axis=1)
+        wanted = {c for c, _ in targets} | (set() if read is None else set(np.flatnonzero(read[2].any(axis=1)).tolist()))
+        return best_rows(lists.filter(F.col("cell").isin(sorted(wanted))), targets, k, kind, read) if wanted else None
 
     return top(in_blocks(queries, one, nothing(lists, queries)), k)
 
