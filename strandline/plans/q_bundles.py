@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators.lineage import scratch
+from strandline.operators.lineage import drop, scratch
 from strandline.sources import bundles
 
 from .registry import query, table
@@ -55,7 +55,11 @@ UNION ALL SELECT 3, 0, count(*) FILTER (WHERE NOT bad), count(*) FILTER (WHERE b
 )
 def import_runs(spark, sf_dir):
     """Half of the orders' bundles, then all of them, then all again: sessions that are there are passed over, broken records counted each time."""
-    half, every = _write(spark, sf_dir, scratch(spark, "half"), "o_orderkey % 2 = 0"), _write(spark, sf_dir, scratch(spark, "all"))
-    work = bundles.Import(spark, scratch(spark, "import"))
-    found = [work.run(half), work.run(every), work.run(every)]
+    paths, found = [scratch(spark, x) for x in ("half", "all", "import")], []
+    work = bundles.Import(spark, paths[2])
+    for path, orders, runs in ((paths[0], "o_orderkey % 2 = 0", 1), (paths[1], "true", 2)):
+        source = _write(spark, sf_dir, path, orders)
+        found += [work.run(source) for _ in range(runs)]
+        drop(spark, path)  # one set of bundles at a time
+    drop(spark, paths[2])
     return spark.createDataFrame([(i, r["imported"], r["done"], r["failed"]) for i, r in enumerate(found, 1)], "run int, imported long, done long, failed long")

@@ -177,7 +177,7 @@ class Import:
 
     def run(self, source: str, dry: bool = False) -> dict[str, int]:
         """Records seen, imported, done before, repeated and failed, and events imported; a dry run only counts."""
-        from strandline.operators.lineage import cut
+        from strandline.operators.lineage import cut, drop
 
         n = (self.ledger.batches() or [-1])[-1] + 1
         rows = cut(read(self.spark, source, "collect"))
@@ -190,6 +190,7 @@ class Import:
             new = state.filter("state = 'imported'")
             rows.drop("error").join(new.select("file", "line"), ["file", "line"], "left_semi").write.mode("overwrite").parquet(f"{self.path}/events/run={n}")
             self.ledger.update(n, new.select("session_id", F.lit(n).cast("long").alias("run")), lambda known, more: known.unionByName(more))
+        drop(self.spark, rows, state)
         out = {k: counts.get(k, (0, 0))[0] for k in ("imported", "done", "repeated", "failed")}
         return {"seen": sum(out.values()), **out, "events": counts.get("imported", (0, 0))[1]}
 
